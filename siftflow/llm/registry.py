@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op5_simhash_neardup
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
 
