@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .sentencepiece_bpe import op4_sentencepiece
 from .simhash import op5_simhash_neardup
+from .token_records import op6_token_records
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op6_token_records": op6_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {}
