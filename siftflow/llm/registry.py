@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_format
 from .sentencepiece_bpe import op4_sentencepiece
+from .sharding import op10_sharding
 from .simhash import op5_simhash_neardup
 from .token_records import op6_token_records
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_token_records": op6_token_records,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+}
