@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
+from .language_id import op3_language_id
 from .sentencepiece_bpe import op4_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op5_simhash_neardup
@@ -10,6 +11,7 @@ from .token_records import op6_token_records
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_token_records": op6_token_records,
