@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
 from .language_id import op3_language_id
+from .secrets import op7_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op5_simhash_neardup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_token_records": op6_token_records,
+    "op7_secret_scan": op7_secret_scan,
     "op10_sharding": op10_sharding,
 }
 
