@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,16 +28,26 @@ from .common import scratch_path, table
 from .sentencepiece_bpe import tokenizer_path
 
 MASK_DELTA = 0xA282EAD8
-#: Chunks whose ids a worker keeps in each of two generations, and the longest one kept: these only bound memory.
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
-
-# White space never shares a token with what stands before it, and only a single space with what follows, so
-# these chunks can be encoded one by one. Where Python and the tokenizer differ on what white space is, or a
-# special token's string may occur, the text is encoded as one.
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: Chunks whose ids a worker keeps for good, and in each of two generations after that, and the longest one
+#: kept: these only bound memory.
+KEPT_CHUNKS, RECENT_CHUNKS, MEMO_CHARS = 1_200_000, 50_000, 48
+
+# The tokenizer's own splitting puts a boundary everywhere these chunks end: white space shares a token only
+# with what follows, and then as a single space; letters share none with a stop or comma. So the chunks can
+# be encoded one by one. Where Python and the tokenizer may differ on what white space is, or a special
+# token's string may occur, the text is encoded as one.
+_CHUNKS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,])|[.,](?=\s)| ?\S+|\s+(?!\S)|\s")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _AS_ONE = re.compile("[\x1c-\x1f]|<\\|")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
@@ -49,15 +60,30 @@ class TokenEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):  # a single token of the splitting, so it goes to the merges at once
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk) or np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_CHUNKS:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
+        ids = self.recent.get(chunk) or self.older.get(chunk)
+        if ids is None:
+            ids = self._encode_chunk(chunk)
+            if len(chunk) > MEMO_CHARS:
+                return ids
+            if len(self) < KEPT_CHUNKS:
+                self[chunk] = ids
+                return ids
+            if len(self.recent) >= RECENT_CHUNKS:
+                self.older, self.recent = self.recent, {}
+            self.recent[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
