@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
+from .decontamination import op8_decontamination
 from .language_id import op3_language_id
 from .secrets import op7_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_token_records": op6_token_records,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 
