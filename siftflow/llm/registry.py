@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat_format
 from .decontamination import op8_decontamination
 from .language_id import op3_language_id
+from .neighbours import op9_nearest_neighbours
 from .secrets import op7_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .sharding import op10_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_token_records": op6_token_records,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
 }
 
