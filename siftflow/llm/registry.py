@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat_format
 from .decontamination import op8_decontamination
 from .language_id import op3_language_id
+from .lm_scoring import op2_lm_scoring
 from .neighbours import op9_nearest_neighbours
 from .secrets import op7_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
@@ -14,6 +15,7 @@ from .token_records import op6_token_records
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_neardup": op5_simhash_neardup,
