@@ -16,7 +16,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,15 +193,14 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
     return docs.select(*(f.name for f in kept)).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digest_columns() -> list[Column]:
     """Counts and digests of what ``encode_documents`` returned."""
     ids = F.col("piece_ids")
-    return encoded.select(
-        "doc_id",
+    return [
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def tokenizer_path(name: str) -> str:
@@ -213,4 +212,4 @@ def tokenizer_path(name: str) -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode_documents(docs, tokenizer_path("piece_bpe_32k.model")))
+    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", *digest_columns())
