@@ -136,7 +136,8 @@ def score(docs: DataFrame, model: DataFrame, tokenizer: str, id_col: str = "doc_
                 own: list[tuple] = []
                 cold: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for row, i, text in zip(rows[lo : lo + 512], ids[lo : lo + 512], texts[lo : lo + 512], strict=True):
-                    pairs = pairs_of(np.frombuffer(enc.encode(text), "<u4").astype(np.int64), start)
+                    # sorted, so that looking the pairs up walks through memory in order
+                    pairs = np.sort(pairs_of(np.frombuffer(enc.encode(text), "<u4").astype(np.int64), start))
                     at = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
                     met = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
                     at = at[met]
@@ -172,7 +173,8 @@ def fit(docs: DataFrame, targets: DataFrame, tokenizer: str, id_col: str = "doc_
     from tokenizers import Tokenizer
 
     chosen = targets.select(F.col(id_col).alias("_t")).where("_t is not null").distinct().withColumn("target", F.lit(True))
-    flagged = docs.select(F.col(id_col), F.col(text_col)).join(chosen, F.col(id_col) == F.col("_t"), "left")
+    # a merge join at every size: what it moves grows as the input does, and no set of ids is ever broadcast
+    flagged = docs.select(F.col(id_col), F.col(text_col)).join(chosen.hint("merge"), F.col(id_col) == F.col("_t"), "left")
     counts = spill(count_pairs(flagged, tokenizer, text_col), "pairs")
     return spill(losses(counts, Tokenizer.from_file(tokenizer).get_vocab_size()), "model")
 
