@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,7 +53,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def same(a: Column | str, b: Column | str) -> Column:
-    """Null-safe equality."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return a.eqNullSafe(b)
+#: Rows of an Arrow batch: texts are long, and every worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand rows to Python in batches of ``BATCH_ROWS`` at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bound_batches, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its question's and answer's words.
@@ -209,13 +209,14 @@ def find_leaks(docs: DataFrame, indexes: list[Index], text_col: str = "text", th
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
                 texts = list(part)
-                yield pd.Series([x for lo in range(0, len(texts), 512) for x in index.search(texts[lo : lo + 512], threshold, overlap)], dtype=object)
+                yield pd.Series([x for lo in range(0, len(texts), 256) for x in index.search(texts[lo : lo + 256], threshold, overlap)], dtype=object)
 
-        return run(F.col(text_col))
+        # not to be evaluated again in filters on its result
+        return run.asNondeterministic()(F.col(text_col))
 
     none = F.array().cast(T.ArrayType(LEAK))
     found = [column(i) for i in indexes]
-    return docs.withColumn("leaks", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0] if found else none)
+    return bound_batches(docs).withColumn("leaks", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0] if found else none)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

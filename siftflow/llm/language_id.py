@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bound_batches, table
 
 #: Bytes of a window, hidden units of each direction, windows that are run side by side.
 WINDOW, HIDDEN, LANES = 128, 16, 1024
@@ -241,7 +241,8 @@ def predict(docs: DataFrame, net: BiGru | None, text_col: str = "text") -> DataF
                         lang[i], score[i] = net.langs[best], min(1.0, float(value))
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    out = docs.withColumn("_language", run(F.col(text_col)))
+    # not to be evaluated again in filters on its result
+    out = bound_batches(docs).withColumn("_language", run.asNondeterministic()(F.col(text_col)))
     return out.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
 
 

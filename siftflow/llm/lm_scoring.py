@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spill, table
+from .common import bound_batches, spill, table
 from .sentencepiece_bpe import tokenizer_path
 from .token_records import _encoder
 
@@ -73,7 +73,7 @@ def count_pairs(docs: DataFrame, tokenizer: str, text_col: str = "text", target_
         if len(held[0]):
             yield out()
 
-    counted = docs.select(F.col(text_col).cast("string"), F.coalesce(F.col(target_col), F.lit(False))).mapInArrow(run, "pair long, in_target long, in_all long")
+    counted = bound_batches(docs).select(F.col(text_col).cast("string"), F.coalesce(F.col(target_col), F.lit(False))).mapInArrow(run, "pair long, in_target long, in_all long")
     return counted.groupBy("pair").agg(F.sum("in_target").alias("in_target"), F.sum("in_all").alias("in_all"))
 
 
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: DataFrame, tokenizer: str, id_col: str = "doc_
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["pair", "row", "i", "n", "t", "b"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
+    numbered = bound_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
     parts = numbered.mapInArrow(run, "pair long, row long, i long, n long, t double, b double")
     rare = model.where(F.col("in_all") < floor).select("pair", "target_loss", "background_loss")
     met = parts.join(rare, "pair", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bound_batches, table
 
 SPACE = "▁"
 #: Chunks in a generation of a memo, of which it holds two at most, and the longest chunk kept: these only bound memory.
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", d
                     cols.append(pa.array([model.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept] + new)
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(run, schema)
+    return bound_batches(docs).select(*(f.name for f in kept)).mapInArrow(run, schema)
 
 
 def digest_columns() -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spill, table
+from .common import bound_batches, spill, table
 from .graph import connected_components
 
 #: Fixed values of the fingerprint.
@@ -86,7 +86,7 @@ def _text_key(text: Column) -> Column:
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(i, text_key, fp, component_id)``, one row per input row."""
     text = F.col(text_col)
-    prints = spill(docs.select(F.col(id_col).alias("i"), _text_key(text).alias("text_key"), simhash_udf(text).alias("fp")), "fingerprints")
+    prints = spill(bound_batches(docs).select(F.col(id_col).alias("i"), _text_key(text).alias("text_key"), simhash_udf(text).alias("fp")), "fingerprints")
     fps = spill(prints.groupBy("fp").agg(F.min("i").alias("least")), "distinct-fingerprints")
     comp = connected_components(linked_fingerprints(fps.select("fp")))
     classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, table
+from .common import bound_batches, scratch_path, table
 from .sentencepiece_bpe import tokenizer_path
 
 MASK_DELTA = 0xA282EAD8
@@ -196,7 +196,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         _commit(where, tmp, path)
         yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "records": records, "tokens": tokens}])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    ordered = bound_batches(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     ordered = ordered.repartitionByRange("i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"), "t")
     done = ordered.mapInArrow(run, "shard long, uri string, records long, tokens long").collect()
     return sorted(tuple(r) for r in done)
