@@ -44,13 +44,14 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
     A file is one task. ``order`` adds ``position``, the object's place in its file.
     """
     found = F.regexp_extract_all("value", F.lit(r"\{[^}]*\}"), F.lit(0))
-    records = spark.read.option("wholetext", True).text(path).select(F.posexplode(found).alias("position", "value"))
-    return _parse(records if order else records.select("value"), F.col("value"), schema, mode)
+    files = spark.read.text(path, wholetext=True)
+    records = files.select(F.posexplode(found).alias("position", "value") if order else F.explode(found).alias("value"))
+    return _parse(records, F.col("value"), schema, mode)
 
 
 def read_rule_flows(spark: SparkSession, path: str | list[str], mode: str = "skip") -> DataFrame:
     """A JSON array of flows as the rules take them; files that don't start with ``[`` are refused."""
-    opened = spark.read.option("wholetext", True).text(path).where(~F.rlike("value", F.lit(r"^\s*\[")))
+    opened = spark.read.text(path, wholetext=True).where(~F.rlike("value", F.lit(r"^\s*\[")))
     if not opened.isEmpty():
         raise ValueError("not a JSON array")
     return read_json_array(spark, path, RULE_FLOW, mode, order=True)
@@ -110,7 +111,7 @@ def read_raw_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_flows(spark: SparkSession, path: str, kind: str = "auto", mode: str = "skip") -> DataFrame:
     """Flows of one input; ``auto`` takes a JSON array if the text starts with one, else a raw export."""
     if kind == "auto":
-        kind = "json" if spark.read.option("wholetext", True).text(path).where(F.rlike("value", F.lit(r"^\s*[\[{]"))).limit(1).count() else "raw"
+        kind = "json" if spark.read.text(path, wholetext=True).where(F.rlike("value", F.lit(r"^\s*[\[{]"))).limit(1).count() else "raw"
     readers = {"json": read_json_array, "ndjson": read_ndjson, "raw": lambda s, p, mode: read_raw_export(s, p).select(*FLOW.fieldNames()), "csv": lambda s, p, mode: convert_connection_log(read_connection_log(s, p)).select(*FLOW.fieldNames())}
     if kind not in readers:
         raise ValueError(f"unknown flow format {kind!r}")
