@@ -79,14 +79,15 @@ def linked_fingerprints(fps: DataFrame, blocks: int = 4, bucket_cap: int = 64) -
     return near.unionByName(far).distinct()
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _row_key(row_id: Column, text: Column) -> Column:
+    """A hash of id and text; rows that agree on it and on the id are taken for repeated rows."""
+    return F.xxhash64(row_id, F.coalesce(text, F.lit("")))
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(i, text_key, fp, component_id)``, one row per input row."""
-    text = F.col(text_col)
-    prints = spill(bound_batches(docs).select(F.col(id_col).alias("i"), _text_key(text).alias("text_key"), simhash_udf(text).alias("fp")), "fingerprints")
+    """``(i, row_key, fp, component_id)``, one row per input row."""
+    row_id, text = F.col(id_col), F.col(text_col)
+    prints = spill(bound_batches(docs).select(row_id.alias("i"), _row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
     fps = spill(prints.groupBy("fp").agg(F.min("i").alias("least")), "distinct-fingerprints")
     comp = connected_components(linked_fingerprints(fps.select("fp")))
     classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -110,13 +111,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
     Of repeated rows with that id and text, one stays. A component whose rows all have a null id keeps one
-    row per distinct text. Columns and their order stay as they are.
+    row per distinct text. Columns and their order stay as they are. Texts move once: the rows to keep are
+    found by their keys, and repeated rows meet in the partitions of that same join.
     """
     found = _classified(docs, id_col, text_col).where(F.col("i").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("i").alias("_keep_id"), F.col("text_key").alias("_keep_text")).distinct()
-    marked = docs.withColumn("_text_key", _text_key(F.col(text_col)))
-    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_text_key") == F.col("_keep_text")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
+    keep = found.select(F.col("row_key").alias("_keep")).distinct()
+    marked = docs.withColumn("_row_key", _row_key(F.col(id_col), F.col(text_col)))
+    kept = marked.join(keep, F.col("_row_key") == F.col("_keep"), "left_semi")
+    return kept.dropDuplicates(["_row_key", id_col]).select(*docs.columns)
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
