@@ -34,10 +34,17 @@ def roles(normal: DataFrame) -> DataFrame:
     return valid_time(normal).select(F.inline(both)).where("ip <> ''")
 
 
-def port_symmetry(normal: DataFrame) -> DataFrame:
-    """``(ip, win, port_symmetry)``: ports an address both calls and is called on, for all addresses seen."""
+def port_use(normal: DataFrame) -> DataFrame:
+    """``(ip, win, port_symmetry, called_ports)`` for all addresses seen.
+
+    ``port_symmetry`` counts the ports an address both calls and is called on, ``called_ports`` those it calls.
+    """
     ports = roles(normal).groupBy("ip", "win", "port").agg(F.bool_or("outbound").alias("o"), F.bool_or(~F.col("outbound")).alias("i"))
-    return ports.groupBy("ip", "win").agg(F.count_if(F.col("o") & F.col("i")).alias("port_symmetry"))
+    return ports.groupBy("ip", "win").agg(F.count_if(F.col("o") & F.col("i")).alias("port_symmetry"), F.count_if("o").alias("called_ports"))
+
+
+def port_symmetry(normal: DataFrame) -> DataFrame:
+    return port_use(normal).drop("called_ports")
 
 
 def port_symmetry_joined(normal: DataFrame) -> DataFrame:
@@ -61,16 +68,16 @@ def _with_gaps(outbound: DataFrame, iat_cap: int | None, order: list[str]) -> Da
     return outbound.withColumn("start", start).withColumn("gap", gap)
 
 
-def outbound_features(normal: DataFrame, iat_cap: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """``(ip, win)`` and all features but ``port_symmetry``, for addresses that call.
+def _sums(normal: DataFrame, iat_cap: int | None, order: list[str] | None) -> DataFrame:
+    """Per calling address and window: sums, gaps and the number of peers.
 
-    Rows meet by target first, in an exchange that also serves the gaps between starts, and then by address.
-    ``iat_cap`` keeps only the first so many arrivals of a target for the gaps, in the given order.
+    One exchange by peer serves the gaps of each target and both sums within; the sums of peers then meet by
+    address, which also counts them.
     """
-    rows = valid_time(normal).where("src4_addr <> ''")
+    rows = valid_time(normal).where("src4_addr <> ''").repartition("src4_addr", "win", "dst4_addr")
     rows = _with_gaps(rows, iat_cap, order or ["first_ms"])
     duration = F.greatest(F.coalesce(F.col("last_ms") - F.col("first_ms"), F.lit(0)), F.lit(0)) / 1000.0
-    targets = rows.groupBy(*TARGET).agg(
+    peers = rows.groupBy("src4_addr", "win", "dst4_addr").agg(
         F.count("*").alias("n"),
         F.sum("in_bytes").alias("bytes"),
         F.sum("in_packets").alias("packets"),
@@ -79,30 +86,28 @@ def outbound_features(normal: DataFrame, iat_cap: int | None = None, order: list
         F.count_if(F.col("proto") == 1).alias("icmp"),
         F.count_if(is_syn_only(F.col("tcp_flags"))).alias("syn"),
         F.count_if(has_flag(F.col("tcp_flags"), "R")).alias("rst"),
+        F.count_if(F.col("dst_port") < 1024).alias("known"),
         F.sum(duration).alias("duration"),
         F.count("gap").alias("gaps"),
         F.sum("gap").alias("gap_sum"),
         F.sum(F.col("gap") * F.col("gap")).alias("gap_sq"),
     )
-    total = ["n", "bytes", "packets", "tcp", "udp", "icmp", "syn", "rst", "duration", "gaps", "gap_sum", "gap_sq"]
-    ips = targets.groupBy(F.col("src4_addr").alias("ip"), "win").agg(
-        *(F.sum(c).alias(c) for c in total),
-        F.sum(F.when(F.col("dst_port") < 1024, F.col("n")).otherwise(0)).alias("known"),
-        F.count_distinct("dst4_addr").alias("dsts"),
-        F.count_distinct("dst_port").alias("ports"),
-    )
+    total = [c for c in peers.columns if c not in ("src4_addr", "win", "dst4_addr")]
+    return peers.groupBy(F.col("src4_addr").alias("ip"), "win").agg(*(F.sum(c).alias(c) for c in total), F.count("*").alias("dsts"))
+
+
+def _features() -> list[Column]:
+    """All features from ``_sums`` and ``port_use``; null for addresses that don't call."""
     n, c = F.col("n"), F.col
     mean = share(c("gap_sum"), c("gaps")) / 1000
     # whole numbers up to the division, so sums of any order give the same variance
     exact = {k: c(k).cast("decimal(19,0)") for k in ("gaps", "gap_sum", "gap_sq")}
     spread = (exact["gaps"] * exact["gap_sq"] - exact["gap_sum"] * exact["gap_sum"]).cast("double")
     variance = F.when(c("gaps") > 1, spread / (c("gaps") * (c("gaps") - 1)).cast("double") / 1e6).otherwise(0.0)
-    return ips.select(
-        "ip",
-        "win",
+    return [
         n.cast("double").alias("flow_count"),
         c("dsts").cast("double").alias("unique_dst_ips"),
-        c("ports").cast("double").alias("unique_dst_ports"),
+        c("called_ports").cast("double").alias("unique_dst_ports"),
         c("bytes").cast("double").alias("total_bytes"),
         c("packets").cast("double").alias("total_packets"),
         (c("bytes") / n).alias("avg_bytes_per_flow"),
@@ -115,12 +120,22 @@ def outbound_features(normal: DataFrame, iat_cap: int | None = None, order: list
         (c("duration") / n).alias("avg_duration"),
         mean.alias("iat_mean"),
         variance.alias("iat_variance"),
-        (c("dsts") / F.greatest("ports", F.lit(1))).alias("ip_port_ratio"),
+        c("port_symmetry").cast("double").alias("port_symmetry"),
+        (c("dsts") / F.greatest("called_ports", F.lit(1))).alias("ip_port_ratio"),
         (c("bytes") / at_least_one(c("packets"))).alias("avg_payload_per_packet"),
         (c("syn") / n * 100).alias("pct_syn_only"),
         (c("rst") / n * 100).alias("pct_rst"),
         F.when(mean > 0, F.sqrt(variance) / mean).otherwise(0.0).alias("iat_cv"),
-    )
+    ]
+
+
+def outbound_features(normal: DataFrame, iat_cap: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """``(ip, win)`` and the features of addresses that call.
+
+    ``iat_cap`` keeps only the first so many arrivals of a target for the gaps, in the given order.
+    """
+    found = port_use(normal).join(_sums(normal, iat_cap, order), ["ip", "win"])
+    return found.select("ip", "win", *_features())
 
 
 def flow_features(flows: DataFrame, include_inbound_only: bool = True, iat_cap: int | None = None, order: list[str] | None = None, fragment: Column | None = None) -> DataFrame:
@@ -133,11 +148,9 @@ def flow_features(flows: DataFrame, include_inbound_only: bool = True, iat_cap:
     if fragment is not None:
         # the parts' windows are told apart by a composite address
         normal = normal.withColumns({a: F.when(F.col(a) != "", F.concat_ws("\0", a, fragment)).otherwise("") for a in ("src4_addr", "dst4_addr")})
-    symmetry = port_symmetry(normal)
-    found = symmetry.join(outbound_features(normal, iat_cap, order), ["ip", "win"], "left" if include_inbound_only else "inner")
-    calls = F.col("flow_count").isNotNull()
-    named = [F.when(calls, F.col(f)).otherwise(0.0).cast("double").alias(f) for f in FLOW_FEATURES]
-    out = found.select("ip", "win", *named)
+    found = port_use(normal).join(_sums(normal, iat_cap, order), ["ip", "win"], "left" if include_inbound_only else "inner")
+    out = found.select("ip", "win", F.col("n").isNotNull().alias("_calls"), *_features())
+    out = out.select("ip", "win", *(F.when(F.col("_calls"), F.col(f)).otherwise(0.0).alias(f) for f in FLOW_FEATURES))
     if fragment is not None:
         parts = F.split("ip", "\0")
         out = out.select(parts[0].alias("ip"), parts[1].alias("fragment"), "win", *FLOW_FEATURES)
