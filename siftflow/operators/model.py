@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,12 @@ UNKNOWN = "unknown reasons"
 CONTRIBUTION = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("contribution", T.DoubleType())]))
 
 
+class Scorer(Protocol):
+    """What ``score`` asks of a model; anything that pickles will do."""
+
+    def probability(self, x: np.ndarray, zero_as_missing: bool = True, base_margin: float = 0.0) -> np.ndarray: ...
+
+
 @dataclass
 class Ensemble:
     """Flattened trees. Node 0 of each tree is its root; a node without a usable split is where a path ends."""
@@ -138,7 +145,7 @@ def _matrix(columns: list[pd.Series]) -> np.ndarray:
     return np.column_stack([c.to_numpy(dtype=float) for c in columns]) if columns else np.empty((0, 0))
 
 
-def score(features: DataFrame, model: Ensemble, names: list[str], zero_as_missing: bool = True, base_margin: float = 0.0) -> DataFrame:
+def score(features: DataFrame, model: Scorer, names: list[str], zero_as_missing: bool = True, base_margin: float = 0.0) -> DataFrame:
     """``features`` with ``probability``."""
 
     @F.pandas_udf(T.DoubleType())

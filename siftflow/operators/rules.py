@@ -164,6 +164,14 @@ def pattern_rule(flows: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return flows.select(F.col("src4_addr").alias("ip"), F.explode(hits).alias("reason")).distinct()
 
 
+def missing_keys(flows: DataFrame, keys: tuple[str, ...] = ("src4_addr", "dst4_addr", "in_bytes")) -> DataFrame:
+    """``(records, incomplete)``: flows that lack any of the keys; they are counted, not dropped."""
+    lacks = F.lit(False)
+    for k in keys:
+        lacks = lacks | (F.col(k).isNull() if k in flows.columns else F.lit(True))
+    return flows.agg(F.count("*").alias("records"), F.count_if(lacks).alias("incomplete"))
+
+
 def triggered(flows: DataFrame, config: RuleConfig, order: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """``(ip, reason)`` of all rules, each pair once."""
     normal = normalize(flows)

@@ -109,3 +109,12 @@ def test_load_errors(tmp_path):
     path = tmp_path / "m.json"
     path.write_text(json.dumps([STUMP]))
     assert md.Ensemble.load(str(path), 1).probability(np.array([[5.0]]))[0] > 0.5
+
+
+def test_any_scorer_will_do(spark):
+    class Half:
+        def probability(self, x, zero_as_missing=True, base_margin=0.0):
+            return np.full(len(x), 0.25) + x[:, 0]
+
+    df = spark.createDataFrame([(0.25,), (0.5,)], "a double")
+    assert [r.probability for r in md.score(df, Half(), ["a"]).collect()] == [0.5, 0.75]

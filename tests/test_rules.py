@@ -122,3 +122,9 @@ def test_triggered_from_any_rules(spark):
 
     got = rules.triggered(flows(spark, [flow(), flow(dst=DST)]), rules.RuleConfig(), ORDER, [*rules.RULES, custom]).collect()
     assert [(r.ip, r.reason) for r in got] == [(SRC, "custom")]
+
+
+def test_missing_keys(spark):
+    df = flows(spark, [flow(), flow(src=None), flow(size=None), flow(dst=None, size=None)])
+    assert rules.missing_keys(df).first()[:] == (4, 3)
+    assert rules.missing_keys(df.drop("in_bytes")).first()[:] == (4, 4)
