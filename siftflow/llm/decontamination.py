@@ -160,8 +160,8 @@ class Index:
         passage, term = np.divmod(flat, width)
         starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         ends = np.append(starts[1:], len(flat))
-        for lo in range(0, len(starts), 4096):
-            a, b = starts[lo : lo + 4096], ends[lo : lo + 4096]
+        for lo in range(0, len(starts), 2048):
+            a, b = starts[lo : lo + 2048], ends[lo : lo + 2048]
             bound = np.add.reduceat(self.block_top[term[a[0] : b[-1]]], a - a[0], axis=0)
             # the slack covers rounding, which must not lose an item right at the threshold
             alive = bound >= threshold - 1e-4

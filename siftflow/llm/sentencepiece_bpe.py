@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, table
+from .memo import ChunkMemo
 
 SPACE = "▁"
-#: Chunks in a generation of a memo, of which it holds two at most, and the longest chunk kept: these only bound memory.
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
+#: Chunks whose ids a worker keeps, and pairs of pieces whose compatibility it remembers.
+KEPT_CHUNKS, KEPT_PAIRS = 600_000, 1 << 18
 
 
 class PieceModel:
@@ -50,14 +51,14 @@ class PieceModel:
                 self.raw[i] = " ⁇ ".encode()
         joined = "".join(p for p in self.ids if len(p) > 1)
         # characters that no piece holds together with others split a text for good
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n") if self.words_apart and "\n" not in joined else re.compile("(?s).+")
+        self.chunks = re.compile(r" +[^ \n]*|[^ \n]+|\n") if self.words_apart and "\n" not in joined else re.compile("(?s).+")
         # pieces that merging never yields can't be part of an encoding
         self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
         self.automaton = ahocorasick.Automaton()
         for p in self.reachable:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        self.fits = lru_cache(1 << 20)(self._fits)
+        self.fits = lru_cache(KEPT_PAIRS)(self._fits)
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging: the best-scored adjacent pair first, ties to the left."""
@@ -122,19 +123,22 @@ class PieceModel:
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
-        """Little-endian 32-bit ids of one chunk."""
+        """Little-endian 32-bit ids of one chunk, space marks still written as spaces."""
         ids, out = self.ids, []
-        for p in self.cover(chunk):
+        for p in self.cover(chunk.replace(" ", SPACE)):
             i = ids.get(p)
             out.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
         return np.array(out, dtype="<i4").tobytes()
 
-    def encode(self, text: str | None, memo: dict[str, bytes] | None = None) -> np.ndarray:
-        """Ids of a whole text; null counts as empty."""
+    def memo(self) -> ChunkMemo:
+        return ChunkMemo(self.encode_chunk, KEPT_CHUNKS)
+
+    def encode(self, text: str | None, memo: ChunkMemo | None = None) -> np.ndarray:
+        """Ids of a whole text; null counts as empty. A space mark in the text is a space, as everywhere."""
         if not text:
             return np.empty(0, dtype="<i4")
-        look = (memo if memo is not None else _Memo(self)).__getitem__
-        return np.frombuffer(b"".join(map(look, self.chunks.findall(SPACE + text.replace(" ", SPACE)))), dtype="<i4")
+        look = memo.__getitem__ if memo is not None else self.encode_chunk
+        return np.frombuffer(b"".join(map(look, self.chunks.findall(" " + text.replace(SPACE, " ")))), dtype="<i4")
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces joined, the dummy prefix's space taken off; broken UTF-8 becomes U+FFFD."""
@@ -142,27 +146,10 @@ class PieceModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-class _Memo(dict):
-    """Ids of chunks seen before. A full generation becomes the old one, whose chunks come back when they are met."""
-
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model, self.old = model, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk) or self.model.encode_chunk(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_CHUNKS:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 @lru_cache(2)
-def _loaded(path: str) -> tuple[PieceModel, _Memo]:
+def _loaded(path: str) -> tuple[PieceModel, ChunkMemo]:
     model = PieceModel(path)
-    return model, _Memo(model)
+    return model, model.memo()
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, scratch_path, table
+from .memo import ChunkMemo
 from .sentencepiece_bpe import tokenizer_path
 
 MASK_DELTA = 0xA282EAD8
-#: Chunks whose ids a worker keeps for good, and in each of two generations after that, and the longest one
-#: kept: these only bound memory.
-KEPT_CHUNKS, RECENT_CHUNKS, MEMO_CHARS = 1_200_000, 50_000, 48
+#: Chunks whose ids a worker keeps.
+KEPT_CHUNKS = 1_000_000
 
 # The tokenizer's own splitting puts a boundary everywhere these chunks end: white space shares a token only
 # with what follows, and then as a single space; letters share none with a stop or comma. So the chunks can
@@ -53,17 +53,15 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-class TokenEncoder(dict):
-    """Chunk to little-endian 32-bit ids by a byte-level tokenizer."""
+class TokenEncoder:
+    """Texts to ids by a byte-level tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = ChunkMemo(self._encode_chunk, KEPT_CHUNKS)
 
     def _encode_chunk(self, chunk: str) -> bytes:
         if _WORD.fullmatch(chunk):  # a single token of the splitting, so it goes to the merges at once
@@ -72,27 +70,13 @@ class TokenEncoder(dict):
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.recent.get(chunk) or self.older.get(chunk)
-        if ids is None:
-            ids = self._encode_chunk(chunk)
-            if len(chunk) > MEMO_CHARS:
-                return ids
-            if len(self) < KEPT_CHUNKS:
-                self[chunk] = ids
-                return ids
-            if len(self.recent) >= RECENT_CHUNKS:
-                self.older, self.recent = self.recent, {}
-            self.recent[chunk] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as 32-bit integers; null counts as empty."""
+        """Ids of a whole text as little-endian 32-bit integers; null counts as empty."""
         if not text:
             return b""
         if _AS_ONE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
+        return b"".join(map(self.memo.__getitem__, _CHUNKS.findall(text)))
 
 
 @lru_cache(2)

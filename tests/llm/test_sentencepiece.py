@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siftflow.llm import sentencepiece_bpe as sp
+from siftflow.llm.memo import ChunkMemo
 
 PATH = sp.tokenizer_path("piece_bpe_32k.model")
 LIB = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -41,14 +42,11 @@ def test_joined_pieces():
         same(" ".join(rng.choice(MODEL.pieces[260:]) + rng.choice(MODEL.pieces[260:]) for _ in range(4)))
 
 
-def test_memo_generations(monkeypatch):
-    monkeypatch.setattr(sp, "MEMO_CHUNKS", 3)
-    memo = sp._Memo(MODEL)
-    words = ["one", "two", "three", "four", "five", "one", "two", "a" * 100, "four"]
-    for w in words:
+def test_memo_stays_bounded():
+    memo = ChunkMemo(MODEL.encode_chunk, 2, 2)
+    for w in ["one", "two", "three", "four", "five", "six", "three", "one", "z" * 99]:
         assert MODEL.encode(w, memo).tolist() == LIB.encode(w)
-    assert len(memo) <= 3
-    assert len(memo.old) <= 3
+    assert max(len(memo), len(memo.recent), len(memo.older)) <= 2
 
 
 def test_documents(spark, tmp_path):

@@ -32,15 +32,6 @@ def test_any_characters(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
 
 
-def test_memo_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tr, "KEPT_CHUNKS", 2)
-    monkeypatch.setattr(tr, "RECENT_CHUNKS", 2)
-    enc = tr.TokenEncoder(PATH)
-    for word in ["one", "two", "three", "four", "five", "six", "three", "one", "z" * 99]:
-        assert np.frombuffer(enc.encode(word), "<u4").tolist() == ids(word)
-    assert max(len(enc), len(enc.recent), len(enc.older)) <= 2
-
-
 def test_records():
     for doc_id in (None, 0, -5, 2**62):
         for wide in (False, True):
