@@ -7,7 +7,7 @@ from .decontamination import op8_decontamination
 from .language_id import op3_language_id
 from .lm_scoring import op2_lm_scoring
 from .neighbours import op9_nearest_neighbours
-from .secrets import op7_secret_scan
+from .secrets import OP7_SQL, op7_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op5_simhash_neardup
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op7_secret_scan": OP7_SQL,
 }

@@ -23,7 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 #: Patterns of the weak kinds.
 WEAK_ACCESS = r"""(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,63}[0-9])(?=[0-9+/]{0,63}[A-Za-z])[A-Za-z0-9+/]{20,}+={0,2}"
+WEAK_SECRET = r"[A-Za-z0-9+/]{20,}+={0,2}+"
 ENDPOINT = r"""(?i:https?|wss?|s3|ftp|jdbc:[a-z]{2,12}|mongodb|amqps?|redis|postgres(?:ql)?|mysql)://[^\s"'<>]{3,}+"""
 
 #: Kind, pattern, and which part of a credential it can be; the first three are the base kinds.
@@ -38,6 +38,13 @@ KINDS = (
 BASE = 3
 
 
+#: Further tests of a match by kind: a value of 8 characters or more; letters and digits both.
+TESTS = {
+    0: lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8,
+    4: lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")),
+}
+
+
 def _matches(text: Column, number: int, pattern: str) -> Column:
     """All leftmost non-overlapping matches of a pattern as ``(k, n, gap, len, ok)``.
 
@@ -50,7 +57,7 @@ def _matches(text: Column, number: int, pattern: str) -> Column:
         lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")),
     )
     found = F.filter(found, lambda x: x["m"].isNotNull())
-    passes = (lambda m: F.length(F.regexp_extract(m, pattern, 2)) >= 8) if number == 0 else (lambda m: F.lit(True))
+    passes = TESTS.get(number, lambda m: F.lit(True))
     full = F.transform(found, lambda x, i: F.struct(F.lit(number).alias("k"), i.alias("n"), x["gap"].alias("gap"), F.length(x["m"]).alias("len"), passes(x["m"]).alias("ok")))
     empty = F.array().cast("array<struct<k:int,n:int,gap:int,len:int,ok:boolean>>")
     return F.when(F.rlike(text, F.lit(pattern)), full).otherwise(empty)
@@ -146,3 +153,55 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["k"] < BASE)).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: its patterns fold case by Unicode, so letters are spelled out, and have no possessive forms."""
+
+    def folded(pattern: str) -> str:
+        out, i, depth = "", 0, []
+        while i < len(pattern):
+            if pattern.startswith("(?i:", i):
+                depth.append(True)
+                out, i = out + "(?:", i + 4
+            elif pattern[i] in "()":
+                if pattern[i] == "(":
+                    depth.append(False)
+                else:
+                    depth.pop()
+                out, i = out + pattern[i], i + 1
+            elif any(depth) and pattern[i].isalpha():
+                out, i = f"{out}[{pattern[i].lower()}{pattern[i].upper()}]", i + 1
+            else:
+                out, i = out + pattern[i], i + 1
+        for form in ("+", "}", "*"):
+            out = out.replace(f"{form}+", form)
+        return out.replace("'", "''")
+
+    parts = []
+    for k, (_, pattern, _) in enumerate(KINDS):
+        p = folded(pattern)
+        parts.append(f"SELECT row, {k} AS k, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS n FROM d")
+    kind = lambda part: ", ".join(str(i) for i, x in enumerate(KINDS) if x[2] == part)
+    names = "[" + ", ".join(f"'{x[0]}'" for x in KINDS) + "][k + 1]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({' UNION ALL '.join(parts)}),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row, k ORDER BY n) AS finish FROM parts),
+spans AS (SELECT row, k, CAST(finish - length(m) AS BIGINT) AS start, CAST(finish AS BIGINT) AS finish FROM placed
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(m, '{folded(ASSIGN)}', 2)) >= 8 WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE TRUE END),
+linked AS (SELECT *, bool_or(k IN ({kind('access')})) OVER scope AS a, bool_or(k IN ({kind('secret')})) OVER scope AS s, bool_or(k IN ({kind('endpoint')})) OVER scope AS e,
+    coalesce(max(CASE WHEN k < {BASE} THEN finish END) OVER (PARTITION BY row ORDER BY start RANGE UNBOUNDED PRECEDING) > start, FALSE) AS covered,
+    coalesce(min(CASE WHEN k < {BASE} THEN start END) OVER (PARTITION BY row ORDER BY start RANGE BETWEEN 1 FOLLOWING AND {SCOPE} FOLLOWING) < finish, FALSE) AS entered
+  FROM spans WINDOW scope AS (PARTITION BY row ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
+kept AS (SELECT *, {names} || ':' || start || ':' || finish AS shown FROM linked WHERE k < {BASE} OR (NOT covered AND NOT entered AND
+    CASE WHEN k IN ({kind('access')}) THEN s WHEN k IN ({kind('secret')}) THEN a OR e ELSE a AND s END)),
+found AS (SELECT row, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+    string_agg(shown, ',' ORDER BY start, k) FILTER (k < {BASE}) AS base, string_agg(shown, ',' ORDER BY start, k) AS shown FROM kept GROUP BY row)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(shown, '') AS spans
+FROM d LEFT JOIN found ON found.row = d.row
+"""
+
+
+OP7_SQL = _sql()

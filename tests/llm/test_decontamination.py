@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+
+from siftflow.llm import decontamination as dc
+
+
+def item(rng, n=30):
+    return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else f"w{rng.randint(0, 3000)}" for _ in range(n)) + ". Answer " + " ".join(f"a{rng.randint(0, 500)}" for _ in range(5)) + "."
+
+
+def world(spark, n_items=40):
+    rng = random.Random(9)
+    items = [(i, item(rng, rng.randint(8, 50))) for i in range(n_items)]
+    docs, want = [], set()
+    for d in range(150):
+        body = [item(rng, 60) for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.4:
+            i, t = rng.choice(items)
+            body.insert(rng.randint(0, len(body)), t.upper() if rng.random() < 0.3 else t)
+            want.add((d, i))
+        docs.append((d, " ".join(body), "x"))
+    return spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string, leaks string"), want
+
+
+def test_planted_items(spark, tmp_path):
+    benchmark, docs, want = world(spark)
+    found = dc.find_leaks(docs, dc.build_indexes(benchmark))
+    got = {(r.doc_id, x.item_id) for r in found.collect() for x in r.leaks}
+    assert got == want
+    benchmark.coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    q = dc.op8_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id) for r in q} == want
+    assert all(r.score > 0.99 and r.question_overlap == r.answer_overlap == 1 for r in q)
+
+
+def test_more_than_one_index(spark, monkeypatch):
+    benchmark, docs, want = world(spark)
+    monkeypatch.setattr(dc, "INDEX_ITEMS", 7)
+    indexes = dc.build_indexes(benchmark)
+    assert len(indexes) == 6
+    assert {(r.doc_id, x.item_id) for r in dc.find_leaks(docs, indexes).collect() for x in r.leaks} == want
+
+
+def test_wand_is_exact(spark):
+    benchmark, _, _ = world(spark, 100)
+    index = dc.build_indexes(benchmark)[0]
+    rng = random.Random(10)
+    for n in range(200):
+        terms = sorted(set(rng.sample(range(1, len(index.terms) + 1), 150)) | {index.terms[w] for w in sum(index.items[n % 100], [])})
+        scores = np.zeros(len(index.items))
+        for t in terms:
+            for i, w in zip(*index.postings[t], strict=True):
+                scores[i] += w
+        alive = set(np.flatnonzero(index.block_top[terms].sum(axis=0) >= 0.3 - 1e-4).tolist())
+        found = index.wand(terms, 0.3, alive)
+        assert [i for i, _ in found] == np.flatnonzero(scores >= 0.3).tolist()
+        assert np.allclose([s for _, s in found], scores[scores >= 0.3])
+
+
+def test_search_is_brute_force(spark):
+    """All passages scored against all items, without index, bounds or blocks."""
+    benchmark, docs, _ = world(spark)
+    index = dc.build_indexes(benchmark)[0]
+    texts = [r.text for r in docs.collect()]
+    for d, found in zip(texts, index.search(texts, threshold=0.4, overlap=0.0), strict=True):
+        w, best = dc.words(d), {}
+        for at in range(0, max(1, len(w)), index.longest):
+            held = {index.terms[x] for x in w[at : at + 2 * index.longest] if x in index.terms}
+            scores = np.zeros(len(index.items))
+            for t in held:
+                for i, x in zip(*index.postings[t], strict=True):
+                    scores[i] += x
+            for i in np.flatnonzero(scores >= 0.4):
+                best[index.item_ids[i]] = max(best.get(index.item_ids[i], 0), min(1.0, scores[i]))
+        assert {x[0]: round(x[1], 9) for x in found} == {i: round(s, 9) for i, s in best.items()}
+
+
+def test_partial_items_stay(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa. lambda mu nu xi.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa and then nothing"), (2, "so alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu nu xi!"), (3, "lambda mu nu xi")], "doc_id long, text string")
+    got = {r.doc_id for r in dc.find_leaks(docs, dc.build_indexes(benchmark)).collect() if r.leaks}
+    assert got == {2}
+
+
+def test_edges(spark):
+    benchmark = spark.createDataFrame([(1, None), (None, "a b c d"), (2, "?!"), (3, "solo"), (3, "solo"), (4, "one two three four five six seven. eight nine.")], "item_id long, text string")
+    long = "filler " * 50_000 + "one two three four five six seven. eight nine." + " filler" * 50_000
+    docs = spark.createDataFrame([(1, None), (1, ""), (None, long), (2, "solo"), (2, "solo"), (3, "...")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, tuple(x.item_id for x in r.leaks)) for r in dc.find_leaks(docs, dc.build_indexes(benchmark)).collect())
+    assert got == [(-1, (4,)), (1, ()), (1, ()), (2, (3,)), (2, (3,)), (3, ())]
+    assert [r.leaks for r in dc.find_leaks(docs, dc.build_indexes(benchmark.limit(0))).collect()] == [[]] * 6
+    assert dc.find_leaks(docs.limit(0), dc.build_indexes(benchmark)).count() == 0
