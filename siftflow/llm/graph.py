@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import drop_spilled, spill
 
 
+#: Edges that a written file holds at least, where there are as many.
+EDGES_PER_FILE = 250_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given by long columns ``a`` and ``b``.
 
@@ -27,7 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        new = spill(_small_star(_large_star(now)), "edges")
+        # contraction adds no edges, so the last count bounds what a round writes, and into how many files
+        new = spill(_small_star(_large_star(now)).coalesce(max(1, seen[0] // EDGES_PER_FILE)), "edges")
         drop_spilled(now)
         now, before, seen = new, seen, _mark(new)
         if seen == before:

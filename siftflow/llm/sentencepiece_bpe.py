@@ -25,7 +25,7 @@ from .memo import ChunkMemo
 
 SPACE = "▁"
 #: Chunks whose ids a worker keeps, and pairs of pieces whose compatibility it remembers.
-KEPT_CHUNKS, KEPT_PAIRS = 600_000, 1 << 18
+KEPT_CHUNKS, KEPT_PAIRS = 400_000, 1 << 18
 
 
 class PieceModel:

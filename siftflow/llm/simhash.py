@@ -88,11 +88,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(i, row_key, fp, component_id)``, one row per input row."""
     row_id, text = F.col(id_col), F.col(text_col)
     prints = spill(bound_batches(docs).select(row_id.alias("i"), _row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
-    fps = spill(prints.groupBy("fp").agg(F.min("i").alias("least")), "distinct-fingerprints")
+    fps = prints.groupBy("fp").agg(F.min("i").alias("least"))
     comp = connected_components(linked_fingerprints(fps.select("fp")))
     classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(spill(classes.join(least, "root").select("fp", "component_id"), "classes"), "fp")
+    return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
