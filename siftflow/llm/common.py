@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siftflow-")
+        own = tempfile.mkdtemp(prefix="siftflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
