@@ -59,6 +59,11 @@ def test_empty(spark, sf):
         assert docs.count() == 0
 
 
+def test_nothing_to_learn_from(spark, sf):
+    docs = spark.createDataFrame([(1, "one", None, "s", 3), (2, None, None, None, None)], SCHEMA)
+    assert corpus_pipeline.identify_language(spark, docs, sf).count() == 2
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
