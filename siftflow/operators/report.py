@@ -22,8 +22,10 @@ def top_overall(results: DataFrame, n: int = OVERALL_SHOWN) -> DataFrame:
 
 def totals(results: DataFrame, records: DataFrame) -> DataFrame:
     """``(records, botnet_ips, ips)``; records count whether or not their time could be read."""
-    counted = results.agg(F.count_if("is_botnet").alias("botnet_ips"), F.count("*").alias("ips"))
-    return records.agg(F.count("*").alias("records")).crossJoin(F.broadcast(counted))
+    zero = F.lit(0).cast("long")
+    found = results.agg(zero.alias("records"), F.count_if("is_botnet").alias("botnet_ips"), F.count("*").alias("ips"))
+    read = records.agg(F.count("*").alias("records"), zero.alias("botnet_ips"), zero.alias("ips"))
+    return found.unionByName(read).agg(*(F.sum(c).alias(c) for c in found.columns))
 
 
 def result_lines(results: DataFrame) -> DataFrame:

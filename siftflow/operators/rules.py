@@ -137,7 +137,7 @@ def _pair_rule(normal: DataFrame, order: list[str], flag: Column, count: int, se
         "begin": F.min("first_ms").over(running),
         "end": F.max(F.greatest("first_ms", "last_ms")).over(running),
     })
-    span = F.when(F.col("end").isNull(), 0.0).when(F.col("begin").isNull(), float("inf")).otherwise((F.col("end") - F.col("begin")) / 1000.0)
+    span = _span(F.col("begin"), F.col("end"))
     return _hits(rows.where(F.col("flagged") & (F.col("n") > count) & (span < seconds)), reason)
 
 
@@ -154,7 +154,8 @@ def small_packets(normal: DataFrame, config: RuleConfig, order: list[str]) -> Da
 
 Rule = Callable[[DataFrame, RuleConfig, list[str]], DataFrame]
 #: The rules in use; append a function that returns ``(ip, reason)`` to extend them.
-RULES: list[Rule] = [frequency, reuse, peers, packet_size, known_addresses, suspicious_ports, small_packets]
+_BUILT_IN: tuple[Rule, ...] = (frequency, reuse, peers, packet_size, known_addresses, suspicious_ports, small_packets)
+RULES: list[Rule] = [*_BUILT_IN]
 
 
 def pattern_rule(flows: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -172,13 +173,66 @@ def missing_keys(flows: DataFrame, keys: tuple[str, ...] = ("src4_addr", "dst4_a
     return flows.agg(F.count("*").alias("records"), F.count_if(lacks).alias("incomplete"))
 
 
+def _span(begin: Column, end: Column) -> Column:
+    """Seconds from the earliest start to the latest start or end; zero without times, endless with ends alone."""
+    return F.when(end.isNull(), 0.0).when(begin.isNull(), float("inf")).otherwise((end - begin) / 1000.0)
+
+
+def built_in(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
+    """``(ip, reason)`` of all built-in rules in three passes: one by pair, one by source, one over peers.
+
+    The rules that share a key share its exchange, sort and running windows.
+    """
+    t, c = config.thresholds, F.col
+    none = F.lit(False)
+    bad_port = c("dst_port").isin(list(config.suspicious_ports)) if config.suspicious_ports else none
+    known = list(config.known_c2_ips)
+    is_known = c("src4_addr").isin(known) | c("dst4_addr").isin(known) if known else none
+
+    def reasons(rows: DataFrame, found: dict[str, Column]) -> DataFrame:
+        held = F.array_compact(F.array(*(F.when(condition, F.lit(reason)) for reason, condition in found.items())))
+        return rows.select(c("src4_addr").alias("ip"), F.explode(held).alias("reason")).distinct()
+
+    by_pair = Window.partitionBy("src4_addr", "dst4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = _pairs(normal).withColumns({
+        "n": F.count("*").over(by_pair),
+        "bad": F.max(bad_port).over(by_pair),
+        "small": F.max(small_packets_flow(config)).over(by_pair),
+        "begin": F.min("first_ms").over(by_pair),
+        "end": F.max(F.greatest("first_ms", "last_ms")).over(by_pair),
+    }).withColumn("span", _span(c("begin"), c("end")))
+    of_pairs = reasons(pairs, {
+        REUSE: c("n") > t.ip_reuse_connections,
+        PORTS: c("bad") & (c("n") > t.suspicious_port_connection_count) & (c("span") < t.suspicious_port_time_window_sec),
+        SMALL: c("small") & (c("n") > t.behavioral_connection_count) & (c("span") < t.behavioral_time_window_sec),
+    })
+    by_source = Window.partitionBy("src4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sources = _from_source(normal).withColumns({
+        "n": F.count("*").over(by_source),
+        "data": F.count_if(c("in_bytes") > 0).over(by_source),
+        "bytes": F.sum(F.when(c("in_bytes") > 0, c("in_bytes"))).over(by_source),
+    })
+    of_sources = reasons(sources, {
+        FREQUENCY: c("n") > t.frequency_of_connections,
+        SIZE: (c("data") > t.packet_size_anomaly_min_flows) | F.when(c("data") >= 10, F.expr("bytes div data") < t.packet_size_anomaly_avg_bytes).otherwise(False),
+        KNOWN: is_known,
+    })
+    return of_pairs.unionByName(of_sources).unionByName(peers(normal, config, order))
+
+
 def triggered(flows: DataFrame, config: RuleConfig, order: list[str], rules: list[Rule] | None = None) -> DataFrame:
-    """``(ip, reason)`` of all rules, each pair once."""
+    """``(ip, reason)`` of all rules, each pair once.
+
+    Of ``RULES`` (or ``rules``) the built-in ones run together, others one by one.
+    """
     normal = normalize(flows)
-    out = None
-    for rule in RULES if rules is None else rules:
-        hits = rule(normal, config, order)
-        out = hits if out is None else out.unionByName(hits)
+    chosen = RULES if rules is None else rules
+    together = all(r in chosen for r in _BUILT_IN)
+    found = [built_in(normal, config, order)] if together else []
+    found += [rule(normal, config, order) for rule in chosen if not (together and rule in _BUILT_IN)]
+    out = found[0]
+    for hits in found[1:]:
+        out = out.unionByName(hits)
     return out
 
 

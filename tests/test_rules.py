@@ -128,3 +128,22 @@ def test_missing_keys(spark):
     df = flows(spark, [flow(), flow(src=None), flow(size=None), flow(dst=None, size=None)])
     assert rules.missing_keys(df).first()[:] == (4, 3)
     assert rules.missing_keys(df.drop("in_bytes")).first()[:] == (4, 4)
+
+
+def test_rules_together_and_apart_agree(spark):
+    import random
+
+    rng = random.Random(1)
+    ips = ["", SRC, DST, OTHER, "192.0.2.9"]
+    rows = [
+        flow(sport=i, src=rng.choice(ips), dst=rng.choice(ips), dport=rng.choice([80, 6667]), packets=rng.choice([0, 5, 10, 40]), size=rng.choice([0, 100, 4000, 90_000]), first=rng.choice([at(i * 3), at(i), "x"]), last=rng.choice([at(i * 4), "x"]))
+        for i in range(600)
+    ]
+    limits = rules.Thresholds(120, 25, 4, 90, 30_000, 1500, 10, 6, 200, 9, 150)
+    for config in (rules.RuleConfig((6667,), (OTHER,), limits), rules.RuleConfig()):
+        df = flows(spark, rows)
+        apart = None
+        for rule in rules.RULES:
+            hits = rule(normalize(df), config, ORDER)
+            apart = hits if apart is None else apart.unionByName(hits)
+        assert {tuple(r) for r in rules.triggered(df, config, ORDER).collect()} == {tuple(r) for r in apart.collect()}
