@@ -2,7 +2,8 @@
 
 A shard is a run of records: length (u64), masked CRC of the length (u32), payload, masked CRC of the
 payload (u32), all little-endian. A payload is a flag byte (bit 0: the document has an id; bit 1: ids are
-32 bits wide, else 16), the document's id (i64), then the token ids. ``<shard>.idx`` holds offset and length
+32 bits wide, else 16; bit 2: what follows the id is a Zstandard frame), the document's id (i64), then the
+token ids. ``<shard>.idx`` holds offset and length
 (u64 each) of every record. The CRC is CRC-32; masking rotates it by 15 bits and adds a constant, so that a
 checksum of data holding checksums stays sound.
 """
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +87,11 @@ def _encoder(path: str) -> TokenEncoder:
 
 
 def pack(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
-    """One framed record; ``ids`` are 32-bit little-endian."""
+    """One framed record; ``ids`` are 32-bit little-endian. They are compressed where that makes them shorter."""
     kept = ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-    payload = struct.pack("<Bq", (doc_id is not None) | wide << 1, doc_id or 0) + kept
+    packed = zstandard.compress(kept, 1)
+    shorter = len(packed) < len(kept)
+    payload = struct.pack("<Bq", (doc_id is not None) | wide << 1 | shorter << 2, doc_id or 0) + (packed if shorter else kept)
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked_crc(length)), payload, struct.pack("<I", masked_crc(payload))))
 
@@ -95,7 +99,8 @@ def pack(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     """Document id and 32-bit token ids."""
     flags, doc_id = struct.unpack_from("<Bq", payload)
-    return (doc_id if flags & 1 else None), np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9).astype("<u4")
+    ids = zstandard.decompress(payload[9:]) if flags & 4 else payload[9:]
+    return (doc_id if flags & 1 else None), np.frombuffer(ids, "<u4" if flags & 2 else "<u2").astype("<u4")
 
 
 def read_record(f) -> bytes | None:

@@ -36,6 +36,10 @@ def test_records():
     for doc_id in (None, 0, -5, 2**62):
         for wide in (False, True):
             data = np.array([1, 50_000, 2], "<u4").tobytes()
+            many = np.array([7, 50_000] * 900, "<u4").tobytes()
+            packed = tr.pack(doc_id, many, wide)
+            assert len(packed) < 200
+            assert tr.unpack(packed[12:-4])[1].tobytes() == many
             record = tr.pack(doc_id, data, wide)
             import io
 
