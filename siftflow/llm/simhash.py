@@ -18,19 +18,27 @@ from .graph import connected_components
 SHINGLE, SEED, BITS = 3, 42, 64
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The signed 64-bit SimHash of a whole text.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, in order.
 
     Letters A-Z are lower-cased, words are runs of anything but ASCII white space, shingles are ``shingle``
     consecutive words joined by a space, repeats included; fewer words give one shingle of all of them, no
-    words (or null) give zero. A bit is set if it is set in more than half of the shingles' XXH64 values.
+    words (or null) give none.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return np.array([digest(g, seed) for g in grams], dtype="<u8")
+
+
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The signed 64-bit SimHash of a whole text.
+
+    A bit is set if it is set in more than half of the shingles' values; no shingles give zero.
+    """
+    h = shingle_hashes(text, shingle, seed)
     votes = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 65536):
         votes += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -79,7 +87,7 @@ def linked_fingerprints(fps: DataFrame, blocks: int = 4, bucket_cap: int = 64) -
     return near.unionByName(far).distinct()
 
 
-def _row_key(row_id: Column, text: Column) -> Column:
+def row_key(row_id: Column, text: Column) -> Column:
     """A hash of id and text; rows that agree on it and on the id are taken for repeated rows."""
     return F.xxhash64(row_id, F.coalesce(text, F.lit("")))
 
@@ -87,7 +95,7 @@ def _row_key(row_id: Column, text: Column) -> Column:
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(i, row_key, fp, component_id)``, one row per input row."""
     row_id, text = F.col(id_col), F.col(text_col)
-    prints = spill(bound_batches(docs).select(row_id.alias("i"), _row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
+    prints = spill(bound_batches(docs).select(row_id.alias("i"), row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
     fps = prints.groupBy("fp").agg(F.min("i").alias("least"))
     comp = connected_components(linked_fingerprints(fps.select("fp")))
     classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -114,9 +122,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row per distinct text. Columns and their order stay as they are. Texts move once: the rows to keep are
     found by their keys, and repeated rows meet in the partitions of that same join.
     """
-    found = _classified(docs, id_col, text_col).where(F.col("i").eqNullSafe(F.col("component_id")))
+    return keep_least(docs, _classified(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, classified: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is their ``component_id`` in ``classified``, one of each id and text."""
+    found = classified.where(F.col("i").eqNullSafe(F.col("component_id")))
     keep = found.select(F.col("row_key").alias("_keep")).distinct()
-    marked = docs.withColumn("_row_key", _row_key(F.col(id_col), F.col(text_col)))
+    marked = docs.withColumn("_row_key", row_key(F.col(id_col), F.col(text_col)))
     kept = marked.join(keep, F.col("_row_key") == F.col("_keep"), "left_semi")
     return kept.dropDuplicates(["_row_key", id_col]).select(*docs.columns)
 
