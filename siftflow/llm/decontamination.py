@@ -28,6 +28,8 @@ from .common import bound_batches, table
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its question's and answer's words.
 THRESHOLD, OVERLAP = 0.7, 0.8
+#: Answers of fewer words, of which ``OVERLAP`` is every word, may lack one if all of a question of so many words is held.
+SHORT_ANSWER, LEAST_QUESTION = 5, 8
 #: Items of a block with one maximum per term, and items of an index; a larger benchmark takes more indexes.
 BLOCK_ITEMS, INDEX_ITEMS = 4, 512
 
@@ -140,6 +142,11 @@ class Index:
         n = len(question)
         return (sum(held[:n]) / n if n else 1.0), (sum(held[n:]) / len(answer) if answer else 1.0)
 
+    def all_but_one(self, item: int, question: float, answer: float) -> bool:
+        """Whether the passage holds the whole item but one word of an answer too short for a share of it to say much."""
+        n, m = map(len, self.items[item])
+        return m < SHORT_ANSWER and n >= LEAST_QUESTION and round(question * n) == n and round(answer * m) >= m - 1
+
     def search(self, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
         """Verified leaks of each text. Passages overlap by half, so any run as long as an item lies in one."""
         stride, width = self.longest, len(self.terms) + 1
@@ -172,7 +179,7 @@ class Index:
                 held = docs[d][begin : begin + 2 * stride]
                 for item, score in self.wand(term[a[n] : b[n]].tolist(), threshold, set(np.flatnonzero(alive[n]).tolist())):
                     question, answer = self.overlap(item, held)
-                    if question >= overlap and answer >= overlap:
+                    if question >= overlap and (answer >= overlap or self.all_but_one(item, question, answer)):
                         out[d].append((self.item_ids[item], min(1.0, score), question, answer, begin))
         for d, found in enumerate(out):
             best: dict[int, tuple] = {}

@@ -92,3 +92,20 @@ def test_edges(spark):
     assert got == [(-1, (4,)), (1, ()), (1, ()), (2, (3,)), (2, (3,)), (3, ())]
     assert [r.leaks for r in dc.find_leaks(docs, dc.build_indexes(benchmark.limit(0))).collect()] == [[]] * 6
     assert dc.find_leaks(docs.limit(0), dc.build_indexes(benchmark)).count() == 0
+
+
+def test_short_answers_may_lack_a_word(spark):
+    question = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    benchmark = spark.createDataFrame([(1, f"{question}? Nu."), (2, "one two three four five six seven eight nine ten? Nu xi omicron pi.")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, f"so {question}? Changed."),
+            (2, "so one two three four five six seven eight nine ten? Nu xi changed pi."),
+            (3, "so one two three four five six seven eight nine ten? Nu changed changed pi."),
+            (4, f"so {question.replace('delta', 'changed')}? Changed."),
+            (5, f"so {question}? Nu."),
+        ],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in dc.find_leaks(docs, dc.build_indexes(benchmark)).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: [], 5: [1]}
