@@ -1,4 +1,8 @@
-"""The window features on streams, and a running best score per address."""
+"""Counting features of windows on streams, and a running best score per address.
+
+Streams give 6 of the 21 flow features, see ``flow_counts``: no durations, gaps, port symmetry or other shares.
+Packet streams are not handled.
+"""
 
 from __future__ import annotations
 
