@@ -482,11 +482,11 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def train_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small model on labelled windows, evaluated on the held-out fifth."""
+    """The operator's default model on labelled windows, evaluated on the held-out fifth."""
     data = training.labelled_windows(flows(spark, sf_dir))
     train, test = training.stratified_split(data, ["ip", "win"], "is_botnet")
     columns = [f"f{i}" for i in range(len(FLOW_FEATURES))]
     weight = training.class_balance(train).first()["scale_pos_weight"] or 1.0
-    model = training.train(training.numbered_features(train, FLOW_FEATURES), columns, trees=5, depth=3, pos_weight=weight)
+    model = training.train(training.numbered_features(train, FLOW_FEATURES), columns, pos_weight=weight)
     return training.confusion(training.predict(model, training.numbered_features(test, FLOW_FEATURES), columns))
 

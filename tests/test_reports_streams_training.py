@@ -123,3 +123,17 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["--input", str(tmp_path), "--list"]) == 0
     assert "ndjson: 1 files" in capsys.readouterr().out
     assert cli.main(["--input", str(tmp_path), "--yes", "--flow-model", str(model)]) == 0
+
+
+def test_train_confusion_takes_the_operators_defaults(spark, monkeypatch):
+    import pytest
+
+    from siftflow.operators import training
+    from siftflow.plans import catalog
+
+    def train(df, features, label="label", **given):
+        raise InterruptedError(sorted(given))
+
+    monkeypatch.setattr(training, "train", train)
+    with pytest.raises(InterruptedError, match=r"^\['pos_weight'\]$"):
+        catalog.QUERIES["train_confusion"](spark, "/root/testdata/sf0.001")
