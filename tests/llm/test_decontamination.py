@@ -1,4 +1,7 @@
+import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -35,46 +38,108 @@ def test_planted_items(spark, tmp_path):
     assert all(r.score > 0.99 and r.question_overlap == r.answer_overlap == 1 for r in q)
 
 
-def test_more_than_one_index(spark, monkeypatch):
-    benchmark, docs, want = world(spark)
-    monkeypatch.setattr(dc, "INDEX_ITEMS", 7)
-    indexes = dc.build_indexes(benchmark)
-    assert len(indexes) == 6
-    assert {(r.doc_id, x.item_id) for r in dc.find_leaks(docs, indexes).collect() for x in r.leaks} == want
-
-
-def test_wand_is_exact(spark):
-    benchmark, _, _ = world(spark, 100)
-    index = dc.build_indexes(benchmark)[0]
-    rng = random.Random(10)
-    for n in range(200):
-        terms = sorted(set(rng.sample(range(1, len(index.terms) + 1), 150)) | {index.terms[w] for w in sum(index.items[n % 100], [])})
-        scores = np.zeros(len(index.items))
-        for t in terms:
-            for i, w in zip(*index.postings[t], strict=True):
-                scores[i] += w
-        alive = set(np.flatnonzero(index.block_top[terms].sum(axis=0) >= 0.3 - 1e-4).tolist())
-        found = index.wand(terms, 0.3, alive)
-        assert [i for i, _ in found] == np.flatnonzero(scores >= 0.3).tolist()
-        assert np.allclose([s for _, s in found], scores[scores >= 0.3])
+def brute_force(items, text, threshold, overlap):
+    """Every passage of the item's length class against every item, without index, bounds or blocks: ``{item: score}``."""
+    parts = [(i, *dc.split_item(t)) for i, t in items]
+    df, total = Counter(w for _, q, a in parts for w in {*q, *a}), len(parts)
+    mean = sum(len(q) + len(a) for _, q, a in parts) / total
+    held, out = dc.words(text), {}
+    for i, q, a in parts:
+        n = len(q) + len(a)
+        stride = 16
+        while stride < n:
+            stride *= 2
+        weight = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for w, f in Counter(q + a).items()}
+        whole = math.fsum(weight.values())
+        for at in range(0, max(1, len(held)), stride):
+            passage = held[at : at + 2 * stride]
+            score = math.fsum(x / whole for w, x in weight.items() if w in set(passage))
+            if score < threshold:
+                continue
+            question, both = subsequence(q, passage), subsequence(q + a, passage)
+            if question >= overlap * len(q) and both - question >= overlap * len(a):
+                out[i] = max(out.get(i, 0), min(1.0, score))
+    return out
+
+
+def subsequence(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, best[j] = best[j], diagonal + 1 if x == y else max(best[j], best[j - 1])
+    return best[-1]
 
 
 def test_search_is_brute_force(spark):
-    """All passages scored against all items, without index, bounds or blocks."""
     benchmark, docs, _ = world(spark)
-    index = dc.build_indexes(benchmark)[0]
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    (searcher,) = dc.build_indexes(benchmark)
     texts = [r.text for r in docs.collect()]
-    for d, found in zip(texts, index.search(texts, threshold=0.4, overlap=0.0), strict=True):
-        w, best = dc.words(d), {}
-        for at in range(0, max(1, len(w)), index.longest):
-            held = {index.terms[x] for x in w[at : at + 2 * index.longest] if x in index.terms}
-            scores = np.zeros(len(index.items))
-            for t in held:
-                for i, x in zip(*index.postings[t], strict=True):
-                    scores[i] += x
-            for i in np.flatnonzero(scores >= 0.4):
-                best[index.item_ids[i]] = max(best.get(index.item_ids[i], 0), min(1.0, scores[i]))
-        assert {x[0]: round(x[1], 9) for x in found} == {i: round(s, 9) for i, s in best.items()}
+    for threshold, overlap in ((0.4, 0.0), (0.6, 0.5)):
+        for text, found in zip(texts, searcher.search(texts, threshold=threshold, overlap=overlap), strict=True):
+            assert {x[0]: round(x[1], 9) for x in found} == {i: round(s, 9) for i, s in brute_force(items, text, threshold, overlap).items()}
+
+
+def test_indexes_do_not_change_results(spark, monkeypatch):
+    """An item of 20,000 words widens no other item's passages, whatever index it is in."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    short = [(i, f"{text(24)}. {text(6)}") for i in range(40)]
+    long = (40, f"{text(19_000)}. {text(1000)}")
+    docs = [text(40_000) for _ in range(4)] + [f"{text(500)} {t} {text(500)}" for _, t in short[:6]] + [f"{text(2000)} {long[1]} {text(9)}"]
+    benchmark = spark.createDataFrame([*short, long], "item_id long, text string").cache()
+    got = []
+    for n, words in ((7, 2_000_000), (40, 2_000_000), (512, 2_000_000), (40, 100)):
+        monkeypatch.setattr(dc, "INDEX_ITEMS", n)
+        monkeypatch.setattr(dc, "PASS_WORDS", words)
+        searchers = dc.build_indexes(benchmark)
+        rows = spark.createDataFrame([(t,) for t in docs], "text string")
+        got.append(sorted(tuple(x) for r in dc.find_leaks(rows, searchers).collect() for x in r.leaks))
+    assert got[0] == got[1] == got[2] == got[3]
+    assert [x[0] for x in got[0]] == [*range(6), 40]
+    assert all(x[1] > 0.999 and x[2] == x[3] == 1 for x in got[0])
+    monkeypatch.undo()
+
+    def seconds(rows):
+        (searcher,) = dc.build_indexes(spark.createDataFrame(rows, "item_id long, text string"))
+        began = time.perf_counter()
+        searcher.search(docs[:4] * 3)
+        return time.perf_counter() - began
+
+    # these texts hold every term of the long item, so each of them is compared with its 20,000 words in order
+    assert min(seconds([*short, long]) for _ in range(3)) < 8 * min(seconds(short) for _ in range(3)) + 0.05
+
+
+def test_wand_loses_nothing_at_the_threshold(spark):
+    benchmark, _, _ = world(spark, 100)
+    (searcher,) = dc.build_indexes(benchmark)
+    rng, tried = random.Random(10), 0
+    for n in range(1200):
+        index = searcher.indexes[n % len(searcher.indexes)]
+        own = {int(index.local[searcher.terms[w]]) for w in sum(index.items[n % len(index.items)], [])}
+        count = len(index.postings) - 1
+        terms = sorted(set(rng.sample(range(1, count + 1), min(count, 150))) | own)
+        held = [[] for _ in index.items]
+        for t in terms:
+            for i, w in zip(*index.postings[t], strict=True):
+                held[i].append(w)
+        scores = np.array([math.fsum(x) for x in held])
+        for threshold in (0.3, *(s * (1 - 1e-12) for s in rng.choices(scores[scores > 0.05], k=2)), rng.choice(scores[scores > 0.05])):
+            alive = set(np.flatnonzero(index.block_top[terms].sum(axis=0) >= threshold - dc.SLACK).tolist())
+            found = index.wand(terms, threshold, alive)
+            assert [i for i, _ in found] == np.flatnonzero(scores >= threshold).tolist()
+            assert [s for _, s in found] == scores[scores >= threshold].tolist()
+            tried += 1
+    assert tried > 3600
+
+
+def test_common_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        n = rng.randint(0, len(a))
+        assert dc.common_run(a, (n, len(a)), b) == [subsequence(a[:n], b), subsequence(a, b)]
 
 
 def test_partial_items_stay(spark):
