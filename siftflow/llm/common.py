@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: the cluster's shared folder and lineage cuts."""
+"""Shared plumbing of the training-data operators: the cluster's shared folder, lineage cuts, running sums in arrays."""
 
 from __future__ import annotations
 
@@ -6,21 +6,31 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_LOCAL: dict[str, str] = {}
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (a local test) is a temporary folder used.
+    Where the session has no such setting, a local one (a test) gets a temporary folder; a cluster raises.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
-        own = tempfile.mkdtemp(prefix="siftflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if context.applicationId not in _LOCAL:
+            own = tempfile.mkdtemp(prefix="siftflow-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _LOCAL[context.applicationId] = f"file://{own}"
+        path = _LOCAL[context.applicationId]
     return path.rstrip("/")
 
 
@@ -29,22 +39,83 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/siftflow/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What was written goes by ``drop_spilled``, at the end of a ``workspace``, or when the application ends.
+    """
     path = scratch_path(df.sparkSession, name)
+    where, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(where)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftflow_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
-def drop_spilled(df: DataFrame) -> None:
-    """Delete what ``spill`` wrote for ``df``, once nothing reads it any more."""
-    path = getattr(df, "_siftflow_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop_spilled(*written: DataFrame) -> None:
+    """Delete what ``spill`` wrote for these, once nothing reads it any more."""
+    for df in written:
+        path = getattr(df, "_siftflow_path", None)
+        if path:
+            where, files = _file_system(df.sparkSession, path)
+            files.delete(where, True)
+            df._siftflow_path = None
+
+
+@contextmanager
+def workspace() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what is spilled inside, but for what is passed to the function it gives."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(mine)
+        drop_spilled(*(df for df in mine if not any(df is k for k in kept)))
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
+#: Steps of a running aggregate that share one array while it grows.
+RUN = 256
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], element: str) -> Column:
+    """The states ``step(state, item)`` after each item, from ``zero``; ``element`` is the state's SQL type.
+
+    States are gathered in runs of ``RUN``, so that a long array isn't copied at every step.
+    """
+    none = F.array().cast(f"array<{element}>")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda n: F.slice(items, n * RUN + 1, RUN))
+
+    def one(acc: Column, x: Column) -> Column:
+        return bind(step(acc["s"], x), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out")))
+
+    def run(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return bind(done, lambda d: F.struct(d["s"].alias("s"), F.concat(acc["all"], F.array(d["out"])).alias("all")))
+
+    start = F.struct(zero.cast(element).alias("s"), F.array().cast(f"array<array<{element}>>").alias("all"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(runs, start, run)["all"])).otherwise(none)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
