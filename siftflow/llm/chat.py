@@ -14,10 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import running, table
 
 #: Turns that are joined to one string before a conversation's rows meet.
 BLOCK = 64
+#: The place of events without a number.
+_LAST = (1 << 63) - 1
+#: Turns whose events can be numbered, events between two turns, and between two messages of a turn.
+_NUMBERED, _TURN, _PART = 1 << 30, 1 << 32, 8
 
 
 @dataclass(frozen=True)
@@ -51,33 +55,51 @@ class Template:
         return F.replace(F.replace(self.unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def _block(turn: Column) -> Column:
+    return F.floor(turn / BLOCK)
+
+
+def _cuts(events: DataFrame) -> DataFrame:
+    """``(conv_id, turn, part, cut)``: the last regeneration of an earlier message of the conversation, if there is one.
+
+    Running maxima, without texts: within blocks of turns, and over the blocks of a conversation.
+    """
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    messages = events.groupBy("conv_id", "turn", "part").agg(again.alias("again")).withColumn("block", _block(F.col("turn")))
+    earlier = Window.partitionBy("conv_id", "block").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = messages.groupBy("conv_id", "block").agg(F.max("again").alias("again")).withColumn("floor", F.max("again").over(before)).where("floor is not null")
+    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "floor")
+    met = messages.withColumn("inner", F.max("again").over(earlier)).join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
+    return met.select("conv_id", "turn", "part", F.greatest("inner", "floor").alias("cut")).where("cut is not null")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages ``(conv_id, turn, part, role, text)`` of an event log.
 
     ``events`` has ``conv_id``, ``seq`` (order of events), ``turn`` and ``part`` (which message, and its
     place), ``role``, ``kind`` and ``text``. ``delta`` appends its text to the message; ``edit`` replaces what
     the message held; ``regenerate`` does too and discards all events of later messages that came before it.
-    Unknown and null kinds count as ``delta``; null texts and roles as empty; events tied in ``seq`` sort by
-    kind and text. A message's role is that of its last event. Messages whose events are all discarded
-    vanish. Null ids, turns and parts are keys like any other. Other columns are not read.
+    All of that goes by one total order of a conversation's events: ``seq`` (null: after all others), then
+    turn and part (nulls first), kind, text and role. So of an edit and a delta with one number the edit
+    stays, and of two edits the one with the greater text. Unknown and null kinds count as ``delta``; null
+    texts and roles as empty. A message's role is that of its last event. Messages whose events are all
+    discarded vanish. Null ids, turns and parts are keys like any other. Other columns are not read.
     """
     key = ["conv_id", "turn", "part"]
-    e = events.select(*key, "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    reset = F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))
-    messages = e.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"),
-        F.max(reset).alias("reset"),
+    empty = F.lit("")
+    e = events.select(
+        *key, F.coalesce("seq", F.lit(_LAST)).alias("seq"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", empty).alias("text"), F.coalesce("role", empty).alias("role")
     )
-    # regenerations are rare: only those meet the later messages of their conversation
-    agains = e.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("c"), F.struct("turn", "part").alias("p")).agg(F.max("seq").alias("s"))
-    cuts = agains.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "s"))).alias("cuts"))
-    met = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    own = F.struct("turn", "part")
-    cut = F.aggregate(F.coalesce("cuts", F.array().cast("array<struct<p:struct<turn:bigint,part:bigint>,s:bigint>>")), F.lit(None).cast("long"), lambda a, x: F.when(x["p"] < own, F.greatest(a, x["s"])).otherwise(a))
-    live = F.filter("log", lambda x: (F.col("reset").isNull() | (x["seq"] >= F.col("reset"))) & (F.col("cut").isNull() | (x["seq"] > F.col("cut"))))
+    messages = e.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"))
+    cuts = _cuts(e).toDF("c", "t", "p", "cut")
+    met = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("part").eqNullSafe(F.col("p")), "left")
+    # what comes before the last edit or regeneration of the message is gone
+    reset = F.array_max(F.transform("log", lambda x, i: F.when(x["kind"].isin("edit", "regenerate"), i).otherwise(0)))
+    live = F.slice("log", reset + 1, F.size("log"))
+    live = F.filter(live, lambda x: F.col("cut").isNull() | (x["seq"] >= F.col("cut")))
     return (
-        met.withColumn("cut", cut)
-        .select(*key, live.alias("live"))
+        met.select(*key, live.alias("live"))
         .where(F.size("live") > 0)
         .select(*key, F.element_at("live", -1)["role"].alias("role"), F.array_join(F.transform("live", lambda x: x["text"]), "").alias("text"))
     )
@@ -100,7 +122,7 @@ def render(messages: DataFrame, template: Template = Template(), learn: tuple[st
         F.when(F.col("learn"), F.length("head")).otherwise(F.length(F.concat("head", "body"))).alias("skip"),
         F.when(F.col("learn"), F.length("body")).otherwise(0).alias("take"),
     )
-    blocks = m.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(one)).alias("t"))
+    blocks = m.groupBy("conv_id", _block(F.col("turn")).alias("block")).agg(F.array_sort(F.collect_list(one)).alias("t"))
     shown = blocks.select(
         "conv_id",
         F.struct("block", F.array_join(F.transform("t", lambda x: x["shown"]), "").alias("shown"), F.transform("t", lambda x: F.struct(x["skip"], x["take"])).alias("runs")).alias("b"),
@@ -116,22 +138,33 @@ def render(messages: DataFrame, template: Template = Template(), learn: tuple[st
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """``(conv_id, turns array<struct<role, text, learned>>, formatted_chars)``, parsed from the output alone.
 
-    ``learned`` is what lies under the loss mask within the turn, unescaped.
+    ``learned`` is what lies under the loss mask, unescaped: the mask's own offsets from the beginning of the
+    output say where, in which turn's piece of it.
     """
     pieces = F.split("formatted", re.escape(template.end))
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    n, sep = len(template.start), template.sep
+    n, sep, end = len(template.start), template.sep, len(template.end)
+    both = F.zip_with(pieces, "loss_runs", lambda p, r: F.struct(F.length(p).alias("long"), r["skip"].alias("skip"), r["take"].alias("take")))
+    places = running(
+        both,
+        F.struct(F.lit(0).alias("next"), F.lit(0).alias("upto"), F.lit(0).alias("begin"), F.lit(0).alias("take")),
+        lambda s, x: F.struct(
+            (s["next"] + x["long"] + end).alias("next"), (s["upto"] + x["skip"] + x["take"]).alias("upto"), (s["upto"] + x["skip"] - s["next"]).alias("begin"), x["take"].alias("take")
+        ),
+        "struct<next:int,upto:int,begin:int,take:int>",
+    )
     body = lambda p: F.substring(p, F.instr(p, sep) + len(sep), F.length(p))
     turns = F.zip_with(
-        pieces,
-        "loss_runs",
-        lambda p, r: F.struct(
+        "pieces",
+        "places",
+        lambda p, m: F.struct(
             template.unescape_role(F.substring(p, F.lit(n + 1), F.instr(p, sep) - F.lit(n + 1))).alias("role"),
             template.unescape(body(p)).alias("text"),
-            template.unescape(F.right(p, r["take"])).alias("learned"),
+            template.unescape(F.substring(p, m["begin"] + 1, m["take"])).alias("learned"),
         ),
     )
-    return formatted.select("conv_id", turns.alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
+    cut = formatted.select("conv_id", pieces.alias("pieces"), places.alias("places"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return cut.select("conv_id", turns.alias("turns"), "formatted_chars")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -140,20 +173,47 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.row_number().over(w).cast("long").alias("part"), F.col("turn").cast("long").alias("seq"), "role", F.lit("delta").alias("kind"), "text")
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The log that streaming such messages leaves, one delta each: it folds to the same messages.
+
+    A message is first a draft. An assistant's draft is answered by a message of its own, and regenerated,
+    which discards that answer; other drafts are edited. That gives the first half of the text, and a delta
+    adds the rest. Messages without a turn, or with one too far out to be numbered, stay as they are.
+    """
+    text, assistant = F.coalesce("text", F.lit("")), F.coalesce(F.col("role") == "assistant", F.lit(False))
+    half = F.floor(F.length(text) / 2).cast("int")
+    fits = F.coalesce(F.abs("turn") < _NUMBERED, F.lit(False))
+    place = F.when(fits, F.col("turn")).otherwise(0) * F.lit(_TURN) + F.col("part") * _PART
+
+    def event(step: int, kind: Column | str, said: Column, later: int = 0, role: Column | None = None) -> Column:
+        return F.struct((F.col("part") + F.lit(later)).alias("part"), (place + step).alias("seq"), (F.col("role") if role is None else role).alias("role"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), said.alias("text"))
+
+    log = F.array(
+        event(0, "delta", F.lit("draft")),
+        event(2, F.when(assistant, "regenerate").otherwise("edit"), F.substring(text, F.lit(1), half)),
+        event(3, "delta", F.substring(text, half + 1, F.length(text))),
+    )
+    answer = F.array(event(1, "delta", F.lit("an answer to the draft"), later=1 << 40, role=F.lit("user")))
+    far = F.when(F.col("turn") > 0, F.lit(_LAST)).otherwise(F.lit(-_LAST))
+    plain = F.array(F.struct("part", far.alias("seq"), "role", F.lit("delta").alias("kind"), text.alias("text")))
+    return events.select("conv_id", "turn", F.inline(F.when(~fits, plain).when(assistant, F.concat(log, answer)).otherwise(log)))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
     )
-    read = read_back(render(fold(conversation_events(rows.unionByName(extra)))))
+    read = read_back(render(fold(streamed(conversation_events(rows.unionByName(extra))))))
     learned = F.array_join(F.transform("turns", lambda t: t["learned"]), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learned.alias("learned"), "formatted_chars")
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        "n_turns",
+        F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
 

@@ -23,17 +23,65 @@ def test_fold(spark):
     assert got == {(1, 0): ("user", "HI<s>"), (1, 1): ("assistant", "XY"), (1, 2): ("user", "new"), (2, 0): ("", ""), (None, 0): ("user", "x"), (None, None): ("user", "y")}
 
 
-def test_fold_brute_force(spark):
-    rng = random.Random(4)
-    rows = [(c, rng.randint(0, 3), 1, s, "user", rng.choice(["delta", "delta", "edit", "regenerate"]), f"{s},") for c in range(60) for s in range(12)]
-    want = {}
-    for c, t, _, _, _, kind, text in rows:
+def fold_one_by_one(rows):
+    """Events applied one at a time in the total order; a message starts anew at each edit and regeneration."""
+    none = lambda x: (x is not None, x or 0)
+    order = lambda r: (r[3] is None, r[3] or 0, none(r[1]), none(r[2]), r[5] or "delta", r[6] or "", r[4] or "")
+    out = {}
+    for c, t, p, _, role, kind, text in sorted(rows, key=order):
+        key, text = (c, t, p), text or ""
         if kind == "regenerate":
-            for later in range(t + 1, 4):
-                want.pop((c, later), None)
-        want[c, t] = (want.get((c, t), "") if kind == "delta" else "") + text
-    got = {(r.conv_id, r.turn): r.text for r in chat.fold(spark.createDataFrame(rows, EVENTS)).collect()}
-    assert got == want
+            for other in [k for k in out if k[0] == c and (none(k[1]), none(k[2])) > (none(t), none(p))]:
+                del out[other]
+        held = out.get(key, ("", ""))[1] if kind not in ("edit", "regenerate") else ""
+        out[key] = (role or "", held + text)
+    return out
+
+
+def test_fold_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice(x)
+    rows = [(c, rng.randint(0, 3), 1, s, "user", pick("delta", "delta", "edit", "regenerate"), f"{s},") for c in range(60) for s in range(12)]
+    rows += [
+        (pick(None, *range(100, 140)), pick(None, *range(-3, 12)), pick(None, 1, 2), pick(None, None, *range(6)), pick(None, "user", "assistant"), pick(None, "delta", "odd", "edit", "regenerate"), pick(None, "", "a", "b"))
+        for _ in range(4000)
+    ]
+    got = {(r.conv_id, r.turn, r.part): (r.role, r.text) for r in chat.fold(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert got == fold_one_by_one(rows)
+
+
+def test_ties_and_null_numbers(spark):
+    rows = [
+        (1, 0, 1, 5, "user", "delta", "old"), (1, 0, 1, 5, "user", "edit", "new"),
+        (2, 0, 1, 5, "user", "edit", "A"), (2, 0, 1, 5, "user", "edit", "B"),
+        (3, 0, 1, 1, "user", "delta", "old"), (3, 0, 1, None, "user", "edit", "new"),
+    ]
+    assert {r.conv_id: r.text for r in chat.fold(spark.createDataFrame(rows, EVENTS)).collect()} == {1: "new", 2: "B", 3: "new"}
+
+
+def test_streamed_folds_back(spark):
+    rng = random.Random(6)
+    rows = [(c, rng.choice([None, -(1 << 62), -2, 0, 1, 2, 1 << 62]), rng.choice(["user", "assistant", None]), rng.choice([*TRICKY, None])) for c in range(40) for _ in range(12)]
+    plain = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = chat.streamed(plain)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    as_set = lambda df: sorted(map(str, df.collect()))
+    assert as_set(chat.fold(log)) == as_set(chat.fold(plain))
+
+
+def test_wrong_mask_offsets_show(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "cd"), (1, 2, "user", "e"), (1, 3, "assistant", "fgh")], "conv_id long, turn long, role string, text string")
+    whole = chat.render(chat.fold(chat.conversation_events(df)))
+    assert [t.learned for t in chat.read_back(whole).first().turns] == ["", "cd", "", "fgh"]
+    off = whole.selectExpr("conv_id", "formatted", "transform(loss_runs, (r, i) -> struct(r.skip + if(i = 1, 1, 0) as skip, r.take)) as loss_runs")
+    assert [t.learned for t in chat.read_back(off).first().turns] != ["", "cd", "", "fgh"]
+
+
+def test_very_long_text(spark):
+    text = "long <s> words " * 200_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    assert turns(chat.fold(chat.streamed(chat.conversation_events(df))))[1] == [("user", text, ""), ("assistant", text, text)]
 
 
 def test_round_trip(spark):
