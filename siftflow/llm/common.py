@@ -35,8 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/siftflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; what is there when the application ends goes."""
+    path = f"{shared_folder(spark)}/siftflow/{name}-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
 
 
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
@@ -50,8 +53,6 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     What was written goes by ``drop_spilled``, at the end of a ``workspace``, or when the application ends.
     """
     path = scratch_path(df.sparkSession, name)
-    where, files = _file_system(df.sparkSession, path)
-    files.deleteOnExit(where)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftflow_path = path

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, spill, table
+from .common import bound_batches, drop_spilled, spill, table
 from .sentencepiece_bpe import tokenizer_path
 from .token_records import _encoder
 

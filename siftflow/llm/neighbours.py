@@ -275,8 +275,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10, confidence: floa
     verified = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
     best = found.where("vec_id is not null").withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     out = spill(best.drop("verified").join(verified, "query_id").select("query_id", "rank", "vec_id", "score", "verified"), "nearest")
-    for written in (rows, placed, asked, *rounds):
-        drop_spilled(written)
+    drop_spilled(rows, placed, asked, *rounds)
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, spill, table
+from .common import bound_batches, spill, table, workspace
 from .graph import connected_components
 
 #: Fixed values of the fingerprint.
@@ -95,12 +95,13 @@ def row_key(row_id: Column, text: Column) -> Column:
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(i, row_key, fp, component_id)``, one row per input row."""
     row_id, text = F.col(id_col), F.col(text_col)
-    prints = spill(bound_batches(docs).select(row_id.alias("i"), row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
-    fps = prints.groupBy("fp").agg(F.min("i").alias("least"))
-    comp = connected_components(linked_fingerprints(fps.select("fp")))
-    classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp")
+    with workspace() as keep:
+        prints = spill(bound_batches(docs).select(row_id.alias("i"), row_key(row_id, text).alias("row_key"), simhash_udf(text).alias("fp")), "fingerprints")
+        fps = prints.groupBy("fp").agg(F.min("i").alias("least"))
+        comp = connected_components(linked_fingerprints(fps.select("fp")))
+        classes = fps.join(comp, fps.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        return keep(spill(prints.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("i", "row_key", "fp", "component_id"), "classes"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,11 +128,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_least(docs: DataFrame, classified: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is their ``component_id`` in ``classified``, one of each id and text."""
-    found = classified.where(F.col("i").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("row_key").alias("_keep")).distinct()
-    marked = docs.withColumn("_row_key", row_key(F.col(id_col), F.col(text_col)))
-    kept = marked.join(keep, F.col("_row_key") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["_row_key", id_col]).select(*docs.columns)
+    found = classified.where(F.col("i").eqNullSafe(F.col("component_id"))).select(F.col("row_key").alias("key")).distinct()
+    # the row travels as one column, so that no column of its own clashes with a key
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    kept = rows.join(found, "key", "left_semi").dropDuplicates(["key", "id"])
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
