@@ -22,6 +22,8 @@ from .common import bound_batches, table
 WINDOW, HIDDEN, LANES = 128, 16, 1024
 #: The bound of the training sample: documents of a language, and windows of a document.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 6
+#: Texts of the learned languages stay below 0.2 (of 200 bytes or more, on the sf tables), others lie above 0.45.
+STRANGE_SHARE = 0.35
 EPOCHS, BATCH, SEED = 4, 256, 7
 UNDETERMINED = "und"
 
@@ -36,6 +38,7 @@ class BiGru:
     b: np.ndarray  # (2, 3H, 1)
     o: np.ndarray  # (2, C, H): state to label
     c: np.ndarray  # (C, 1)
+    seen: np.ndarray | None = None  # a bit per byte trigram: in the training windows
 
     @classmethod
     def fresh(cls, langs: list[str], hidden: int, rng: np.random.Generator) -> BiGru:
@@ -185,6 +188,24 @@ def train(windows: np.ndarray, used: np.ndarray, target: np.ndarray, langs: list
     return net
 
 
+def trigrams(text: bytes) -> np.ndarray:
+    """Every three consecutive bytes of a text, letters A-Z lower-cased, as one number each."""
+    b = np.frombuffer(text.lower(), np.uint8).astype(np.int32)
+    return b[:-2] << 16 | b[1:-1] << 8 | b[2:] if len(b) > 2 else b[:0]
+
+
+def is_strange(text: bytes, seen: np.ndarray) -> bool:
+    """Whether a text is in none of the languages learned, by its byte trigrams that the training windows don't hold.
+
+    They must be more than ``STRANGE_SHARE`` of all, by twice the square root of how many there are: the shorter
+    a text, the more it takes, and up to about ten trigrams nothing will do. ``seen`` has a bit per trigram. A
+    probability can't tell that, as those of the learned languages add up to 1 for any text.
+    """
+    t = trigrams(text)
+    unseen = int((seen[t >> 3] >> (7 - (t & 7)).astype(np.uint8) & 1 == 0).sum())
+    return unseen > STRANGE_SHARE * len(t) + 2 * len(t) ** 0.5
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: CRC-32 of its id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -209,7 +230,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     room = F.greatest(F.octet_length(raw) - WINDOW, F.lit(0))
     starts = F.array_distinct(F.array(*(F.floor(room * i / max(1, WINDOWS_PER_DOC - 1)) for i in range(WINDOWS_PER_DOC))))
     drawn = usable.where(luck < share).select(F.col(lang_col).alias("lang"), F.transform(starts, lambda s: F.substring(raw, (s + 1).cast("int"), F.lit(WINDOW))).alias("w"))
-    pairs = [(bytes(w), r.lang) for r in drawn.collect() for w in r.w]
+    # repeated rows have one hash, so without distinct() they would all be drawn
+    pairs = [(bytes(w), r.lang) for r in drawn.distinct().collect() for w in r.w]
     langs = sorted({lang for _, lang in pairs})
     if not langs:
         return None
@@ -217,33 +239,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     windows = np.zeros((len(pairs), WINDOW), np.uint8)
     for row, (w, _) in zip(windows, pairs, strict=True):
         row[: len(w)] = np.frombuffer(w, np.uint8)
-    return train(windows, np.array([len(w) for w, _ in pairs]), np.array([langs.index(lang) for _, lang in pairs]), langs)
+    net = train(windows, np.array([len(w) for w, _ in pairs]), np.array([langs.index(lang) for _, lang in pairs]), langs)
+    seen = np.zeros(1 << 24, bool)
+    for w, _ in pairs:
+        seen[trigrams(w)] = True
+    net.seen = np.packbits(seen)
+    return net
 
 
 def predict(docs: DataFrame, net: BiGru | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the mean probability of that language over all bytes.
+    """``docs`` with ``lang_pred``, ``score``, the mean probability of that language over all bytes, and ``strange``.
+
+    ``strange`` texts are in no learned language (``is_strange``), though the nearest one is named.
 
     Only the text is looked at, and the whole of it. Null texts and texts without a letter, and all texts if
-    there is no model, get ``und`` and score 0. Equal texts get equal results; an empty table stays empty.
+    there is no model, get ``und`` and score 0, and aren't strange. Equal texts get equal results; an empty table stays empty.
     """
-    schema = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
+    schema = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("strange", T.BooleanType(), False)])
 
     @F.pandas_udf(schema)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = list(part)
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            lang, score, strange = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
             for lo in range(0, len(texts), 512):
                 known = [i for i in range(lo, min(lo + 512, len(texts))) if net and texts[i] and any(map(str.isalpha, texts[i]))]
                 if known:
-                    p = net.document_probabilities([texts[i].encode("utf-8", "replace") for i in known])
+                    raw = [texts[i].encode("utf-8", "replace") for i in known]
+                    p = net.document_probabilities(raw)
+                    for i, text in zip(known, raw, strict=True):
+                        strange[i] = net.seen is not None and is_strange(text, net.seen)
                     for i, best, value in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
                         lang[i], score[i] = net.langs[best], min(1.0, float(value))
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "strange": strange})
 
     # not to be evaluated again in filters on its result
     out = bound_batches(docs).withColumn("_language", run.asNondeterministic()(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    return out.withColumns({name: F.col(f"_language.{name}") for name in schema.names}).drop("_language")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

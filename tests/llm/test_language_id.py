@@ -46,6 +46,41 @@ def test_pooling_is_over_all_bytes():
     assert np.allclose(whole.sum(axis=1), 1, atol=1e-5)
 
 
+def test_forward_pass_is_a_plain_recurrence():
+    """Byte by byte, with matrices and logistic functions written out."""
+    rng = np.random.default_rng(2)
+    net = li.BiGru.fresh(["a", "b", "c"], 6, rng)
+    net.b += rng.normal(size=net.b.shape).astype("f4")
+    net.c += rng.normal(size=net.c.shape).astype("f4")
+    data = rng.integers(0, 256, li.WINDOW).astype(np.uint8)
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    logits = np.repeat(net.c.T.astype("f8"), len(data), axis=0)
+    for way, order in ((0, range(len(data))), (1, reversed(range(len(data))))):
+        h = np.zeros(6)
+        for t in order:
+            gates, state = net.x[way][:, data[t]], net.u[way] @ h + net.b[way][:, 0]
+            z, r = logistic(gates[:6] + state[:6]), logistic(gates[6:12] + state[6:12])
+            h = z * h + (1 - z) * np.tanh(gates[12:] + r * state[12:])
+            logits[t] += net.o[way] @ h
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    assert np.allclose(net.label(data[None])[:, :, 0], p, atol=1e-4)
+    assert np.allclose(net.document_probabilities([data.tobytes()])[0], p.mean(axis=0), atol=1e-4)
+
+
+def test_strange_texts(spark):
+    rng = random.Random(3)
+    for langs in (1, 2, 3):
+        known = sorted(WORDS)[:langs]
+        train = spark.createDataFrame([(i, text(rng, lang, 60), lang) for i in range(300) for lang in [rng.choice(known)]], "doc_id long, text string, lang string")
+        net = li.fit(train)
+        other = [" ".join(rng.choice("ja on ei että hän se oli kuin mutta niin minä tai kun jos olen ovat".split()) for _ in range(60)), "".join(rng.choice("абвгдежзиклмнопр ") for _ in range(300)), "".join(chr(rng.randint(33, 126)) for _ in range(300))]
+        own = [text(rng, lang, n) for lang in known for n in (1, 2, 5, 60, 3000)] + ["of", "x", "Ĳ", "a-1"]
+        got = {r.text: r.strange for r in li.predict(spark.createDataFrame([(t, 1) for t in other + own], "text string, strange int"), net).collect()}
+        assert [got[t] for t in other] == [True] * 3
+        assert not any(got[t] for t in own)
+
+
 def documents(spark, n=700):
     rng = random.Random(8)
     rows = [(i, text(rng, lang, rng.randint(4, 60)), lang) for i in range(n) for lang in [rng.choice(sorted(WORDS))]]
