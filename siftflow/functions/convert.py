@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .flow import millis_iso, utc
+
 # Protocol names and their numbers.
 PROTOCOLS = {
     "tcp": 6, "udp": 17, "icmp": 1, "igmp": 2, "ipv6-icmp": 58, "arp": 0, "rtp": 0, "rtcp": 0, "pim": 103,
@@ -41,15 +43,15 @@ def iso_time(text: Column) -> Column:
     fraction = r"(\.\d{1,6})?$"
     slashes = F.rlike(s, F.lit(r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}" + fraction))
     dashes = F.rlike(s, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}| \d{1,2}:\d{1,2}:\d{1,2})$"))
-    parsed = F.when(slashes | dashes, F.replace(s, F.lit("/"), F.lit("-")).try_cast("timestamp"))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.replace(s, F.lit(" "), F.lit("T")))
+    parsed = F.when(slashes | dashes, utc(F.replace(s, F.lit("/"), F.lit("-"))))
+    return F.coalesce(millis_iso(F.unix_millis(parsed)), F.replace(s, F.lit(" "), F.lit("T")))
 
 
 def end_time(start: Column, seconds: Column) -> Column:
     """An ISO start plus a duration; the start itself if the duration isn't positive or the start can't be read."""
-    begin = F.when(F.rlike(start, F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$")), start.try_cast("timestamp"))
+    begin = F.when(F.rlike(start, F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$")), utc(start))
     micros = F.unix_micros(begin) + F.round(seconds * 1e6).cast("long")
-    later = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    later = millis_iso(F.floor(micros / 1000))
     return F.when(seconds > 0, F.coalesce(later, start)).otherwise(start)
 
 

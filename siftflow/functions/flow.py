@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..schemas import WINDOW_SECONDS
 
 
+def utc(text: Column) -> Column:
+    """A time without a zone as an instant of UTC, whatever the session's zone; null if it can't be read."""
+    return F.concat(text, F.lit("Z")).try_cast("timestamp")
+
+
 def iso_millis(text: Column | str) -> Column:
-    """Epoch milliseconds of ``yyyy-MM-ddTHH:mm:ss.SSS`` (what follows is ignored), null for anything else."""
+    """Epoch milliseconds of ``yyyy-MM-ddTHH:mm:ss.SSS`` in UTC (what follows is ignored), null for anything else."""
     s = F.col(text) if isinstance(text, str) else text
     shaped = (F.length(s) >= 23) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 11, 1) == "T")
-    return F.when(shaped, F.unix_millis(F.substring(s, 1, 23).try_cast("timestamp")))
+    return F.when(shaped, F.unix_millis(utc(F.substring(s, 1, 23))))
 
 
 def millis_iso(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    """``yyyy-MM-ddTHH:mm:ss.SSS`` in UTC, by arithmetic that no session setting touches."""
+    part = lambda unit, count, width: F.lpad(F.pmod(F.floor(ms / unit), F.lit(count)).cast("string"), width, "0")
+    day = F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3))
 
 
 def window_start(ms: Column) -> Column:

@@ -142,16 +142,16 @@ def flow_features(flows: DataFrame, include_inbound_only: bool = True, iat_cap:
     """``(ip, win)`` and the 21 features of ``FLOW_FEATURES``.
 
     Addresses that are only called get zeros, or are left out. ``fragment`` (say, the input file) keeps the
-    windows of different parts of the input apart; it comes back as ``fragment``.
+    windows of different parts of the input apart; it comes back as ``fragment``; null is
+    a part like any other.
     """
     normal = normalize(flows)
     if fragment is not None:
-        # the parts' windows are told apart by a composite address
-        normal = normal.withColumns({a: F.when(F.col(a) != "", F.concat_ws("\0", a, fragment)).otherwise("") for a in ("src4_addr", "dst4_addr")})
+        # the parts' windows are told apart by a composite window
+        normal = normal.withColumn("win", F.struct("win", fragment.alias("fragment")))
     found = port_use(normal).join(_sums(normal, iat_cap, order), ["ip", "win"], "left" if include_inbound_only else "inner")
     out = found.select("ip", "win", F.col("n").isNotNull().alias("_calls"), *_features())
     out = out.select("ip", "win", *(F.when(F.col("_calls"), F.col(f)).otherwise(0.0).alias(f) for f in FLOW_FEATURES))
     if fragment is not None:
-        parts = F.split("ip", "\0")
-        out = out.select(parts[0].alias("ip"), parts[1].alias("fragment"), "win", *FLOW_FEATURES)
+        out = out.select("ip", F.col("win.fragment").alias("fragment"), F.col("win.win").alias("win"), *FLOW_FEATURES)
     return out

@@ -168,20 +168,24 @@ def best_window(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def contributions(features: DataFrame, model: Ensemble, names: list[str]) -> DataFrame:
-    """``features`` with ``contributions``: non-zero ones, largest first, ties by index."""
+def contributions(features: DataFrame, model: Ensemble, names: list[str], only: Column | None = None) -> DataFrame:
+    """``features`` with ``contributions``: non-zero ones, largest first, ties by index.
+
+    Where ``only`` is given, rows for which it is false are not walked through the trees and get none.
+    """
 
     @F.pandas_udf(CONTRIBUTION)
-    def run(*columns: pd.Series) -> pd.Series:
-        x = _matrix(list(columns))
-        found = model.contributions(x)
-        out = []
-        for values, parts in zip(x, found, strict=True):
-            order = sorted(np.flatnonzero(parts), key=lambda i: (-parts[i], i))
-            out.append([{"index": int(i), "value": float(values[i]), "contribution": float(parts[i])} for i in order])
+    def run(chosen: pd.Series, *columns: pd.Series) -> pd.Series:
+        out: list[list] = [[] for _ in range(len(chosen))]
+        at = np.flatnonzero(chosen.fillna(False).to_numpy(bool))
+        if len(at):
+            x = _matrix([c.iloc[at] for c in columns])
+            for row, values, parts in zip(at, x, model.contributions(x), strict=True):
+                order = sorted(np.flatnonzero(parts), key=lambda i: (-parts[i], i))
+                out[row] = [{"index": int(i), "value": float(values[i]), "contribution": float(parts[i])} for i in order]
         return pd.Series(out, dtype=object)
 
-    return features.withColumn("contributions", run(*(F.col(f"`{n}`") for n in names)))
+    return features.withColumn("contributions", run(F.lit(True) if only is None else only, *(F.col(f"`{n}`") for n in names)))
 
 
 def explanation_text(found: list, names: list[str]) -> str:
@@ -191,14 +195,14 @@ def explanation_text(found: list, names: list[str]) -> str:
     return "Reasons: " + ", ".join(f"{names[c['index']]} ({feature_text(names[c['index']], c['value'])})" for c in found[:TOP_REASONS])
 
 
-def explain(features: DataFrame, model: Ensemble, names: list[str]) -> DataFrame:
+def explain(features: DataFrame, model: Ensemble, names: list[str], only: Column | None = None) -> DataFrame:
     """``contributions`` plus their ``explanation`` text."""
 
     @F.pandas_udf(T.StringType())
     def text(parts: pd.Series) -> pd.Series:
         return pd.Series([explanation_text(list(p), names) for p in parts], dtype=object)
 
-    return contributions(features, model, names).withColumn("explanation", text("contributions"))
+    return contributions(features, model, names, only).withColumn("explanation", text("contributions"))
 
 
 def is_botnet(probability: Column) -> Column:
@@ -207,6 +211,6 @@ def is_botnet(probability: Column) -> Column:
 
 def results(features: DataFrame, model: Ensemble, names: list[str], zero_as_missing: bool = True, base_margin: float = 0.0) -> DataFrame:
     """``(ip, probability, is_botnet, explanation)`` per address; probability in percent, explained if a botnet's."""
-    best = explain(best_window(score(features, model, names, zero_as_missing, base_margin)), model, names)
     bot = is_botnet(F.col("probability"))
+    best = explain(best_window(score(features, model, names, zero_as_missing, base_margin)), model, names, only=bot)
     return best.select("ip", (F.col("probability") * 100).alias("probability"), bot.alias("is_botnet"), F.when(bot, F.col("explanation")).otherwise("").alias("explanation"))

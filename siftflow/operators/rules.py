@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.flow import round2
 from .flow_features import normalize
@@ -74,6 +75,39 @@ class RuleConfig:
             raise ValueError(f"rule configuration {path}: {e}") from e
 
 
+#: Ranges of the first order column that running values of one key are computed in, each in a task of its own.
+RANGES = 1024
+_COMBINE = {"sum": lambda before, now: F.coalesce(before, F.lit(0)) + F.coalesce(now, F.lit(0)), "min": F.least, "max": F.greatest}
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``rows`` with running values over each key's rows in order: name to ``("sum" | "min" | "max", of what)``.
+
+    A key's rows are cut into ``RANGES`` equal ranges of the first order column (null: the first range; not a
+    number: one range), which are added up by themselves and then offset by what came before, so that no task
+    needs all rows of a busy key. Rows move once, dealt by key and range.
+    """
+    kind = rows.schema[order[0]].dataType
+    place = F.lit(0)
+    if isinstance(kind, T.NumericType):
+        first = F.col(order[0]).cast("double")
+        ends = rows.agg(F.min(first).alias("_low"), F.max(first).alias("_high")).withColumn("_one", F.lit(1))  # a single row
+        rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one", "left").drop("_one")
+        span = F.col("_high") - F.col("_low")  # not a finite number if an end isn't
+        at = F.least(F.floor((first - F.col("_low")) / span * RANGES), F.lit(RANGES - 1))
+        place = F.when(first.isNull(), -1).when((span > 0) & (span < float("inf")), at).otherwise(0)
+    rows = rows.withColumn("_range", place.cast("int")).drop("_low", "_high")
+    rows = rows.withColumns({f"_of_{name}": of for name, (_, of) in values.items()})
+    ranges = rows.groupBy(*keys, "_range").agg(*(getattr(F, how)(f"_of_{name}").alias(f"_part_{name}") for name, (how, _) in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select(*keys, "_range", *(getattr(F, how)(f"_part_{name}").over(earlier).alias(f"_before_{name}") for name, (how, _) in values.items()))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(before, [*keys, "_range"])
+    met = met.withColumns({f"_now_{name}": getattr(F, how)(f"_of_{name}").over(within) for name, (how, _) in values.items()})
+    met = met.withColumns({name: _COMBINE[how](F.col(f"_before_{name}"), F.col(f"_now_{name}")) for name, (how, _) in values.items()})
+    return met.drop("_range", *(f"_{what}_{name}" for what in ("of", "now", "before") for name in values))
+
+
 def _hits(df: DataFrame, reason: str) -> DataFrame:
     return df.select(F.col("src4_addr").alias("ip")).distinct().withColumn("reason", F.lit(reason))
 
@@ -101,13 +135,17 @@ def peers(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
     return _hits(n.where(F.col("n") > config.thresholds.p2p_unique_peers), PEERS)
 
 
+def _small_average(rows: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
+    """Sources that at some point have had ten or more flows with bytes, and few bytes on average."""
+    data = _from_source(rows).where("in_bytes > 0").select("src4_addr", "in_bytes", *order)
+    found = running(data, ["src4_addr"], order, {"n": ("sum", F.lit(1)), "b": ("sum", F.col("in_bytes"))})
+    return _hits(found.where((F.col("n") >= 10) & (F.expr("b div n") < config.thresholds.packet_size_anomaly_avg_bytes)), SIZE)
+
+
 def packet_size(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
     """Many flows with bytes, or at some point ten or more of them with few bytes on average."""
-    running = Window.partitionBy("src4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _from_source(normal).where("in_bytes > 0").withColumns({"n": F.count("*").over(running), "b": F.sum("in_bytes").over(running)})
-    t = config.thresholds
-    small = (F.col("n") >= 10) & (F.expr("b div n") < t.packet_size_anomaly_avg_bytes)
-    return _hits(rows.where((F.col("n") > t.packet_size_anomaly_min_flows) | small), SIZE)
+    many = _from_source(normal).where("in_bytes > 0").groupBy("src4_addr").count().where(F.col("count") > config.thresholds.packet_size_anomaly_min_flows)
+    return _hits(many, SIZE).unionByName(_small_average(normal, config, order)).distinct()
 
 
 def known_addresses(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
@@ -124,19 +162,18 @@ def small_packets_flow(config: RuleConfig) -> Column:
     return F.when(enough, F.expr("in_bytes div in_packets") < t.small_avg_packet_bytes).otherwise(False)
 
 
+def _pair_span() -> dict[str, tuple[str, Column]]:
+    """Running values of a pair: flows, and from when to when."""
+    return {"n": ("sum", F.lit(1)), "begin": ("min", F.col("first_ms")), "end": ("max", F.greatest("first_ms", "last_ms"))}
+
+
 def _pair_rule(normal: DataFrame, order: list[str], flag: Column, count: int, seconds: float, reason: str) -> DataFrame:
     """Pairs that at some point have had a flagged flow, more than ``count`` flows, and all within a span.
 
     The span runs from the earliest start to the latest start or end. Without any readable time it is zero;
     with ends alone it is too long for any limit.
     """
-    running = Window.partitionBy("src4_addr", "dst4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _pairs(normal).withColumns({
-        "n": F.count("*").over(running),
-        "flagged": F.max(F.coalesce(flag, F.lit(False))).over(running),
-        "begin": F.min("first_ms").over(running),
-        "end": F.max(F.greatest("first_ms", "last_ms")).over(running),
-    })
+    rows = running(_pairs(normal), ["src4_addr", "dst4_addr"], order, _pair_span() | {"flagged": ("max", F.coalesce(flag, F.lit(False)))})
     span = _span(F.col("begin"), F.col("end"))
     return _hits(rows.where(F.col("flagged") & (F.col("n") > count) & (span < seconds)), reason)
 
@@ -179,9 +216,9 @@ def _span(begin: Column, end: Column) -> Column:
 
 
 def built_in(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
-    """``(ip, reason)`` of all built-in rules in three passes: one by pair, one by source, one over peers.
+    """``(ip, reason)`` of all built-in rules: running spans by pair, running sizes by source, and plain counts of both.
 
-    The rules that share a key share its exchange, sort and running windows.
+    The rules that share a key and a kind of pass share it; counts need no order, and are added up before they move.
     """
     t, c = config.thresholds, F.col
     none = F.lit(False)
@@ -193,45 +230,32 @@ def built_in(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFra
         held = F.array_compact(F.array(*(F.when(condition, F.lit(reason)) for reason, condition in found.items())))
         return rows.select(c("src4_addr").alias("ip"), F.explode(held).alias("reason")).distinct()
 
-    by_pair = Window.partitionBy("src4_addr", "dst4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    pairs = _pairs(normal).withColumns({
-        "n": F.count("*").over(by_pair),
-        "bad": F.max(bad_port).over(by_pair),
-        "small": F.max(small_packets_flow(config)).over(by_pair),
-        "begin": F.min("first_ms").over(by_pair),
-        "end": F.max(F.greatest("first_ms", "last_ms")).over(by_pair),
-    }).withColumn("span", _span(c("begin"), c("end")))
+    values = _pair_span() | {"bad": ("max", F.coalesce(bad_port, none)), "small": ("max", F.coalesce(small_packets_flow(config), none))}
+    columns = ["src4_addr", "dst4_addr", "dst_port", "in_bytes", "in_packets", "first_ms", "last_ms", *order]
+    pairs = running(_pairs(normal).select(*dict.fromkeys(columns)), ["src4_addr", "dst4_addr"], order, values).withColumn("span", _span(c("begin"), c("end")))
     of_pairs = reasons(pairs, {
         REUSE: c("n") > t.ip_reuse_connections,
         PORTS: c("bad") & (c("n") > t.suspicious_port_connection_count) & (c("span") < t.suspicious_port_time_window_sec),
         SMALL: c("small") & (c("n") > t.behavioral_connection_count) & (c("span") < t.behavioral_time_window_sec),
     })
-    by_source = Window.partitionBy("src4_addr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sources = _from_source(normal).withColumns({
-        "n": F.count("*").over(by_source),
-        "data": F.count_if(c("in_bytes") > 0).over(by_source),
-        "bytes": F.sum(F.when(c("in_bytes") > 0, c("in_bytes"))).over(by_source),
-    })
-    of_sources = reasons(sources, {
-        FREQUENCY: c("n") > t.frequency_of_connections,
-        SIZE: (c("data") > t.packet_size_anomaly_min_flows) | F.when(c("data") >= 10, F.expr("bytes div data") < t.packet_size_anomaly_avg_bytes).otherwise(False),
-        KNOWN: is_known,
-    })
-    return of_pairs.unionByName(of_sources).unionByName(peers(normal, config, order))
+    sources = _from_source(normal).groupBy("src4_addr").agg(F.count("*").alias("n"), F.count_if(c("in_bytes") > 0).alias("data"), F.max(F.coalesce(is_known, none)).alias("known"))
+    of_sources = reasons(sources, {FREQUENCY: c("n") > t.frequency_of_connections, SIZE: c("data") > t.packet_size_anomaly_min_flows, KNOWN: c("known")})
+    found = of_pairs.unionByName(of_sources).unionByName(_small_average(normal, config, order)).unionByName(peers(normal, config, order))
+    return found.distinct()
 
 
 def triggered(flows: DataFrame, config: RuleConfig, order: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """``(ip, reason)`` of all rules, each pair once.
 
-    Of ``RULES`` (or ``rules``) the built-in ones run together, others one by one.
+    Of ``RULES`` (or ``rules``) the built-in ones run together, others one by one; no rules give no rows.
     """
     normal = normalize(flows)
     chosen = RULES if rules is None else rules
     together = all(r in chosen for r in _BUILT_IN)
     found = [built_in(normal, config, order)] if together else []
     found += [rule(normal, config, order) for rule in chosen if not (together and rule in _BUILT_IN)]
-    out = found[0]
-    for hits in found[1:]:
+    out = normal.sparkSession.createDataFrame([], "ip string, reason string")
+    for hits in found:
         out = out.unionByName(hits)
     return out
 

@@ -19,8 +19,10 @@ from ..operators import report, rules, training
 from ..schemas import FLOW_FEATURES, PACKET_FEATURES
 from ..sources.router import file_type_counts
 from ..streaming import windows
-from .derive import FLOWS_SQL, ORDER, PACKETS_SQL, flows, packets
-from .toy_model import FLOW_TREES
+from ..scratch import remove, scratch_path
+from ..sources import flows as src
+from .derive import FLOWS_SQL, ORDER, PACKETS_SQL, flows, flows_of, lineitem, lineitem_stream, packets, packets_of
+from .toy_model import FLOW_TREES, PACKET_TREES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,6 +258,13 @@ _rule_query("rule_suspicious_ports_running", rules.suspicious_ports, rules.PORTS
 _rule_query("rule_small_packets_running", rules.small_packets, rules.SMALL)
 
 
+@_query(f"WITH {FLOWS_SQL} SELECT src4_addr AS ip, 'Packet Size Anomalies' AS reason FROM flows WHERE in_bytes > 0 GROUP BY 1 HAVING count(*) > 1490")
+def rule_packet_size_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branch for many flows with bytes, at a limit that some addresses pass and no average can."""
+    config = rules.RuleConfig(thresholds=rules.Thresholds(packet_size_anomaly_min_flows=1490, packet_size_anomaly_avg_bytes=0))
+    return rules.packet_size(_normal(spark, sf_dir), config, ORDER)
+
+
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.risk_scores(rules.triggered(flows(spark, sf_dir), TEST_RULES, ORDER), _WEIGHTS)
 
@@ -373,11 +382,10 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.result_lines(report.ranked(_results(spark, sf_dir))).select("ip", "is_botnet", "line")
 
 
-@_query(f"WITH {_BEST} SELECT 'flow' AS origin, ip, {_six('probability * 100')} AS probability FROM best UNION ALL SELECT 'packet', ip, {_six('probability * 50')} FROM best")
-def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _results(spark, sf_dir).select(F.lit("flow").alias("origin"), "ip", "probability")
-    two = one.select(F.lit("packet").alias("origin"), "ip", (F.col("probability") / 2).alias("probability"))
-    return _round(one.unionByName(two), ["probability"])
+@_query(f"WITH {_BEST} SELECT ip, printf('[BENIGN TRAFFIC ] IP: %-15s | ML Probability: %6.2f%%', ip, floor(probability * 10000 + 0.5) / 100) AS line FROM best WHERE NOT probability > 0.5")
+def report_lines_benign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _results(spark, sf_dir).where("not is_botnet").withColumn("probability", F.floor(F.col("probability") * 100 + 0.5) / 100)
+    return report.result_lines(whole).select("ip", "line")
 
 
 # ---- packets -----------------------------------------------------------------------------------------------
@@ -405,6 +413,141 @@ def packet_protocol_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.packet_features(packets(spark, sf_dir)).select("ip", "win", F.col("Protocol Type").alias("protocol"))
 
 
+def _packet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pf.packet_features(packets(spark, sf_dir))
+    return md.results(found, md.Ensemble.parse(PACKET_TREES, len(PACKET_FEATURES)), PACKET_FEATURES)
+
+
+#: Best packet window of each address, the trees written out; a zero goes where a missing value does.
+_PACKET_BEST = f"""{PACKETS_SQL}, pf AS (SELECT ip, win, {_PACKET_RAW['Rate']} AS rate, sum(length) AS total, count(*) FILTER (tcp_flags LIKE '%S%') / count(*) AS syn FROM roles GROUP BY 1, 2),
+pp AS (SELECT ip, win, 1 / (1 + exp(-(CASE WHEN rate = 0 OR rate < 0.25 THEN -0.5::DOUBLE WHEN total = 0 OR total < 40000 THEN 0.7::DOUBLE ELSE -0.1::DOUBLE END
+  + CASE WHEN syn = 0 THEN 0.9::DOUBLE WHEN syn < 0.4 THEN 0.2::DOUBLE ELSE 0.9::DOUBLE END))) AS probability FROM pf),
+pbest AS (SELECT ip, max(probability) AS probability FROM pp GROUP BY 1)"""
+
+
+@_query(f"WITH {_PACKET_BEST} SELECT ip, {_six('probability * 100')} AS probability, probability > 0.5 AS is_botnet FROM pbest")
+def packet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_packet_results(spark, sf_dir).select("ip", "probability", "is_botnet"), ["probability"])
+
+
+@_query(f"WITH {_BEST}, {_PACKET_BEST.replace(FLOWS_SQL + ',', '')} SELECT 'flow' AS origin, ip, {_six('probability * 100')} AS probability FROM best UNION ALL SELECT 'packet', ip, {_six('probability * 100')} FROM pbest")
+def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of flows and of packets, each by its own features and model."""
+    both = [found.select(F.lit(origin).alias("origin"), "ip", "probability") for origin, found in (("flow", _results(spark, sf_dir)), ("packet", _packet_results(spark, sf_dir)))]
+    return _round(both[0].unionByName(both[1]), ["probability"])
+
+
+# ---- sources: written, then read back -----------------------------------------------------------------------
+
+_READ_BACK = f"WITH {FLOWS_SQL} SELECT strftime(make_timestamp(first_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') AS first, strftime(make_timestamp(last_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') AS last, {_COLUMNS[13:]} FROM flows"
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """A column of text as files of the shared folder, which go when the application ends."""
+    path = scratch_path(spark, name)
+    lines.write.text(path)
+    return path
+
+
+@_query(_READ_BACK)
+def source_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With commas, blank lines and broken records between the flows."""
+    text = F.to_json(F.struct(*_COLUMNS.split(", ")))
+    line = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("  "), text, F.lit(" ,"))).otherwise(text)
+    broken = F.when(F.col("l_linenumber") == 3, F.concat(line, F.lit('\n\n{"first": "2024')))
+    return src.read_ndjson(spark, _written(spark, flows(spark, sf_dir).select(F.coalesce(broken, line).alias("value")), "ndjson"))
+
+
+@_query(_READ_BACK)
+def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays in files of many flows each."""
+    text = F.to_json(F.struct(*_COLUMNS.split(", ")))
+    rows = flows(spark, sf_dir).groupBy(F.pmod("l_orderkey", F.lit(500))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ",\n")).alias("value"))
+    path = scratch_path(spark, "array")
+    rows.select("value").repartition(8).write.option("lineSep", "]\n[").text(path)
+    return src.read_json_array(spark, path)
+
+
+@_query(f"WITH {FLOWS_SQL} SELECT first_ms, last_ms, in_packets, in_bytes, proto, CASE WHEN proto = 6 THEN '....S...' ELSE '........' END AS tcp_flags, src_port, dst_port, src4_addr, dst4_addr, label FROM flows")
+def source_connection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connection log in CSV: other names and layouts, hexadecimal ports, durations and states instead of ends and flags."""
+    f = ff.normalize(flows(spark, sf_dir))
+    name = F.when(F.col("proto") == 6, "tcp").when(F.col("proto") == 17, "UDP").otherwise("icmp")
+    start = F.replace(F.replace(F.col("first"), F.lit("-"), F.lit("/")), F.lit("T"), F.lit(" "))
+    duration = ((F.col("last_ms") - F.col("first_ms")) / 1000).cast("string")
+    port = F.concat(F.lit("0x"), F.lower(F.hex("dst_port")))
+    out = {"StartTime": start, "Dur": duration, "Proto": name, "SrcAddr": F.col("src4_addr"), "Sport": F.col("src_port"), "DstAddr": F.col("dst4_addr"), "Dport": port, "State": F.lit("S_"), "TotPkts": F.col("in_packets"), "TotBytes": F.col("in_bytes"), "Label": F.col("label")}
+    path = scratch_path(spark, "log")
+    f.select(*(c.cast("string").alias(k) for k, c in out.items())).write.option("header", True).csv(path)
+    read = ff.normalize(src.convert_connection_log(src.read_connection_log(spark, path)))
+    return read.select("first_ms", "last_ms", "in_packets", "in_bytes", "proto", "tcp_flags", "src_port", "dst_port", "src4_addr", "dst4_addr", "label")
+
+
+@_query(f"SELECT * REPLACE (CASE WHEN tcp_flags = '' THEN '........' ELSE tcp_flags END AS tcp_flags) FROM ({_READ_BACK})")
+def source_raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of text, keys in several spellings."""
+    c = F.col
+    flags = F.when(c("tcp_flags") == "", "........").otherwise(c("tcp_flags"))
+    lines = {
+        "first": F.concat(F.lit("1234 ["), F.replace("first", F.lit("T"), F.lit(" ")), F.lit("]")), "LAST": F.concat(F.lit("1234 ["), F.replace("last", F.lit("T"), F.lit(" ")), F.lit("]")),
+        "in packets": c("in_packets"), "in_bytes": c("in_bytes"), "proto": F.concat("proto", F.lit(" NAME")), "tcp flags": F.concat(F.lit("0x02 "), flags),
+        "src port": c("src_port"), "dst_port": c("dst_port"), "src4 addr": c("src4_addr"), "dst addr": c("dst4_addr"),
+    }
+    block = F.concat(F.lit("Flow Record:\n"), *(F.concat(F.lit(f"  {k} = "), v.cast("string"), F.lit("\n")) for k, v in lines.items()))
+    return src.read_raw_export(spark, _written(spark, flows(spark, sf_dir).select(block.alias("value")), "raw")).select(*_COLUMNS.split(", "))
+
+
+@_query(f"WITH {FLOWS_SQL} SELECT count(*) FILTER (l_linenumber = 3) AS bad, '{{\"first\": \"2024' AS first_bad FROM flows")
+def source_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records can't be read, and the first of them."""
+    text = F.when(F.col("l_linenumber") == 3, '{"first": "2024').otherwise(F.to_json(F.struct(*_COLUMNS.split(", "))))
+    return src.bad_records(src.read_ndjson(spark, _written(spark, flows(spark, sf_dir).select(text.alias("value")), "bad"), mode="keep"))
+
+
+# ---- streams of all features --------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, fragments: windows.Fragments, *parts: DataFrame) -> DataFrame:
+    """Each part as a stream's next files, all windows closed at the end."""
+    where = scratch_path(spark, "stream-in")
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(where)
+        fragments.start(spark.readStream.schema(part.schema).parquet(where), checkpoint).awaitTermination()
+    fragments.flush(spark)
+    remove(spark, where)
+    return fragments.read(spark)
+
+
+@_query(f"WITH {_ALL21} SELECT ip, win, {_ROLES_ROUND} FROM features")
+def stream_flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 21 features from a stream, each window as it closes: what the batch finds."""
+    fragments = windows.Fragments.of_flows(scratch_path(spark, "stream"))
+    fragments.start(flows_of(lineitem_stream(spark, sf_dir)), scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    fragments.flush(spark)
+    return _round(fragments.read(spark).select("ip", "win", *FLOW_FEATURES), FLOW_FEATURES)
+
+
+@_query(ORACLE_SQL["packet_features_39"])
+def stream_packet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = windows.Fragments.of_packets(scratch_path(spark, "stream"))
+    fragments.start(packets_of(lineitem_stream(spark, sf_dir)), scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    fragments.flush(spark)
+    return _round(fragments.read(spark).select("ip", "win", *PACKET_FEATURES), PACKET_FEATURES)
+
+
+@_query(
+    f"""WITH {FLOWS_SQL}, latest AS (SELECT max(first_ms) FILTER (l_orderkey % 10 <> 0) // 1000 - 300 AS edge FROM flows),
+parts AS (SELECT *, l_orderkey % 10 = 0 AND win + 300 <= (SELECT edge FROM latest) AS late FROM flows)
+SELECT src4_addr AS ip, win, late, count(*)::DOUBLE AS flow_count, sum(in_bytes)::DOUBLE AS total_bytes, count(DISTINCT dst4_addr)::DOUBLE AS unique_dst_ips FROM parts GROUP BY 1, 2, 3"""
+)
+def stream_late_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the flows comes after all others: in windows that have closed by then, as fragments of their own."""
+    rows = lineitem(spark, sf_dir)
+    found = _streamed(spark, windows.Fragments.of_flows(scratch_path(spark, "stream")), flows_of(rows.where("l_orderkey % 10 <> 0")), flows_of(rows.where("l_orderkey % 10 = 0")))
+    return found.where("flow_count > 0").select("ip", "win", (F.col("batch") == 1).alias("late"), "flow_count", "total_bytes", "unique_dst_ips")
+
+
 # ---- labels, conversion, files, streams, training ----------------------------------------------------------
 
 
@@ -480,6 +623,15 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("total", F.round("total", 4))
 
 
+@_query(
+    """WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 1 AND toxic = 1) AS tp FROM labels)
+SELECT tn, fp, fn, tp, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END::DOUBLE AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END::DOUBLE AS recall FROM c"""
+)
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column of a fixed table held against another."""
+    return training.confusion(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic")
+
+
 @_query()
 def train_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator's default model on labelled windows, evaluated on the held-out fifth."""

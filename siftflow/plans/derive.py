@@ -6,6 +6,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.flow import millis_iso
 
 #: Unique, so it can stand for the order of arrival.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -25,11 +28,20 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow records plus the ordering columns and ``label``."""
-    iso = "date_format(timestamp_millis({}), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
-    return lineitem(spark, sf_dir).selectExpr(
+    return flows_of(lineitem(spark, sf_dir))
+
+
+def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream; a stream reads folders, and the name picks the table out of this one."""
+    return spark.readStream.schema(lineitem(spark, sf_dir).schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+
+
+def flows_of(lineitem: DataFrame) -> DataFrame:
+    rows = lineitem.withColumns({"first": millis_iso(F.expr(_FIRST_MS)), "last": millis_iso(F.expr(_LAST_MS))})
+    return rows.selectExpr(
         *ORDER,
-        f"{iso.format(_FIRST_MS)} AS first",
-        f"{iso.format(_LAST_MS)} AS last",
+        "first",
+        "last",
         "CAST(l_quantity AS BIGINT) AS in_packets",
         "CAST(l_quantity AS BIGINT) * (40 + l_partkey % 1000) AS in_bytes",
         f"{_PROTO} AS proto",
@@ -44,7 +56,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet records of the same rows."""
-    return flows(spark, sf_dir).selectExpr(
+    return packets_of(lineitem(spark, sf_dir))
+
+
+def packets_of(lineitem: DataFrame) -> DataFrame:
+    return flows_of(lineitem).selectExpr(
         f"({_FIRST_MS}) / 1000.0D AS timestamp",
         "src4_addr AS src_ip",
         "dst4_addr AS dst_ip",

@@ -1,4 +1,4 @@
-"""A hand-written ensemble of three trees: no trained model is published, so this one stands in."""
+"""A hand-written ensemble of trees for each kind of record: no trained model is published, so these stand in."""
 
 from __future__ import annotations
 
@@ -16,3 +16,9 @@ FLOW_TREES = [
     _split(0, 15, 7.0, _leaf(1, -0.3), _split(2, 17, 530.0, _leaf(3, 0.6), _leaf(4, -0.1), depth=1), missing_yes=False),
     _split(0, 8, 26.0, _leaf(1, 0.25), _leaf(2, -0.4)),
 ]
+
+#: Features 2 (rate), 29 (sum of lengths) and 4 (share of SYN).
+PACKET_TREES = [
+    _split(0, 2, 0.25, _leaf(1, -0.5), _split(2, 29, 40_000.0, _leaf(3, 0.7), _leaf(4, -0.1), depth=1)),
+    _split(0, 4, 0.4, _leaf(1, 0.2), _leaf(2, 0.9), missing_yes=False),
+]

@@ -6,6 +6,8 @@ its text in ``_corrupt``, ``fail`` raises when rows are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,15 @@ def _parse(records: DataFrame, text: Column, schema: T.StructType, mode: str) ->
     return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def bad_records(kept: DataFrame) -> DataFrame:
+    """``(bad, first_bad)``: how many of the records read in mode ``keep`` are bad, and the first of them as text.
+
+    First by file and place, as far as Spark numbers rows in reading order; null without any.
+    """
+    rows = kept.select(F.monotonically_increasing_id().alias("n"), F.col(CORRUPT).alias("text")).where("text is not null")
+    return rows.agg(F.count("*").alias("bad"), F.min_by("text", "n").alias("first_bad"))
+
+
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType = FLOW, mode: str = "skip") -> DataFrame:
     """An object per line; white space, one comma after it, and blank lines don't count."""
     line = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("value", r"[\t\r]", " ")), ",$", ""), " +$", "")
@@ -51,9 +62,9 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 def read_rule_flows(spark: SparkSession, path: str | list[str], mode: str = "skip") -> DataFrame:
     """A JSON array of flows as the rules take them; files that don't start with ``[`` are refused."""
-    opened = spark.read.text(path, wholetext=True).where(~F.rlike("value", F.lit(r"^\s*\[")))
-    if not opened.isEmpty():
-        raise ValueError("not a JSON array")
+    for one in [path] if isinstance(path, str) else path:
+        if not _first_line(spark, one).startswith("["):
+            raise ValueError("not a JSON array")
     return read_json_array(spark, path, RULE_FLOW, mode, order=True)
 
 
@@ -108,14 +119,35 @@ def read_raw_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return blocks.select(*(out[f.name].try_cast(f.dataType).alias(f.name) for f in RULE_FLOW.fields))
 
 
+Reader = Callable[..., DataFrame]
+#: Readers of flows by format, called with session, path and mode; more can be registered.
+READERS: dict[str, Reader] = {}
+
+
+def register_reader(kind: str, reader: Reader) -> None:
+    """Make ``reader(spark, path, mode)`` known to ``read_flows``; a format that is known already is replaced."""
+    READERS[kind] = reader
+
+
+register_reader("json", lambda spark, path, mode: read_json_array(spark, path, mode=mode))
+register_reader("ndjson", lambda spark, path, mode: read_ndjson(spark, path, mode=mode))
+register_reader("raw", lambda spark, path, mode: read_raw_export(spark, path).select(*FLOW.fieldNames()))
+register_reader("csv", lambda spark, path, mode: convert_connection_log(read_connection_log(spark, path)).select(*FLOW.fieldNames()))
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line with anything in it, of whichever file comes first; no more than one split is read for it."""
+    row = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"[\t\r]", " ")) != "").limit(1).collect()
+    return row[0][0].strip() if row else ""
+
+
 def read_flows(spark: SparkSession, path: str, kind: str = "auto", mode: str = "skip") -> DataFrame:
     """Flows of one input; ``auto`` takes a JSON array if the text starts with one, else a raw export."""
     if kind == "auto":
-        kind = "json" if spark.read.text(path, wholetext=True).where(F.rlike("value", F.lit(r"^\s*[\[{]"))).limit(1).count() else "raw"
-    readers = {"json": read_json_array, "ndjson": read_ndjson, "raw": lambda s, p, mode: read_raw_export(s, p).select(*FLOW.fieldNames()), "csv": lambda s, p, mode: convert_connection_log(read_connection_log(s, p)).select(*FLOW.fieldNames())}
-    if kind not in readers:
+        kind = "json" if _first_line(spark, path)[:1] in ("[", "{") else "raw"
+    if kind not in READERS:
         raise ValueError(f"unknown flow format {kind!r}")
-    return readers[kind](spark, path, mode=mode)
+    return READERS[kind](spark, path, mode=mode)
 
 
 def read_training_csv(spark: SparkSession, paths: list[str], columns: list[str], label: str = "Label", limit_files: int | None = None) -> DataFrame:

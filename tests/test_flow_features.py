@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import DST, OTHER, SRC, flow, flows
+from siftflow.functions import convert
+from siftflow.functions.flow import millis_iso
 from siftflow.operators import flow_features as ff
 from siftflow.schemas import FLOW_FEATURES
 
@@ -19,6 +21,32 @@ def test_timestamps(spark):
     assert got == cases
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_any_session(spark, zone):
+    """Also where the session's clock has a gap (2026-03-08, 02:00 to 03:00 in New York)."""
+    texts = {"2026-03-17T12:00:00.000": 1773748800000, "2026-03-08T02:30:00.000": 1772937000000, "2026-03-08T03:30:00.000": 1772940600000, "1969-12-31T23:59:59.999": -1}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = ff.normalize(flows(spark, [flow(first=t) for t in texts])).withColumns({
+            "back": millis_iso(F.col("first_ms")),
+            "slashes": convert.iso_time(F.replace(F.replace("first", F.lit("-"), F.lit("/")), F.lit("T"), F.lit(" "))),
+            "later": convert.end_time(F.col("first"), F.lit(3600.5)),
+        }).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {r.first: r.first_ms for r in rows} == texts
+    for r in rows:
+        assert r.back == r.slashes == r.first
+        assert r.win == texts[r.first] // 300_000 * 300
+    assert {r.first: r.later for r in rows}["2026-03-08T01:30:00.000".replace("01:30", "02:30")] == "2026-03-08T03:30:00.500"
+
+
+def test_null_fragment(spark):
+    rows = flows(spark, [flow(), flow(), flow(dport=443)]).withColumn("part", F.when(F.col("dst_port") == 443, "b"))
+    got = {(r.fragment, r.ip): r.flow_count for r in ff.flow_features(rows, fragment=F.col("part")).collect()}
+    assert got == {(None, SRC): 2, (None, DST): 0, ("b", SRC): 1, ("b", DST): 0}
+
+
 def test_roles_of_one_flow(spark):
     got = by_ip(ff.flow_features(flows(spark, [flow(size=1000, dport=443)])))
     assert set(got) == {SRC, DST}

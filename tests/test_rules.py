@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import DST, OTHER, SRC, flow, flows
 from siftflow.operators import rules
@@ -147,3 +149,50 @@ def test_rules_together_and_apart_agree(spark):
             hits = rule(normalize(df), config, ORDER)
             apart = hits if apart is None else apart.unionByName(hits)
         assert {tuple(r) for r in rules.triggered(df, config, ORDER).collect()} == {tuple(r) for r in apart.collect()}
+
+
+def test_no_rules(spark):
+    assert rules.triggered(flows(spark, [flow()]), rules.RuleConfig(), ORDER, rules=[]).collect() == []
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 1024])
+def test_running_values_are_those_of_one_pass(spark, monkeypatch, ranges):
+    monkeypatch.setattr(rules, "RANGES", ranges)
+    rng = random.Random(1)
+    data = [(rng.choice("aab"), rng.choice([None, *range(40)]), i, rng.choice([None, *range(9)])) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, o long, i long, v long")
+    got = rules.running(df, ["k"], ["o", "i"], {"n": ("sum", F.lit(1)), "low": ("min", F.col("v")), "high": ("max", F.col("v"))})
+    assert got.columns == ["k", "o", "i", "v", "n", "low", "high"]
+    want, seen = {}, {}
+    for k, o, i, v in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        n, low, high = seen.get(k, (0, None, None))
+        values = [x for x in (low, high, v) if x is not None]
+        seen[k] = want[i] = (n + 1, min(values, default=None), max(values, default=None))
+    assert {r.i: (r.n, r.low, r.high) for r in got.collect()} == want
+    odd = spark.createDataFrame([("a", float(x), 0) for x in ("nan", "inf", "-inf", "1", "2")] + [("a", None, 0)], "k string, o double, i long")
+    assert [str(r.o) for r in rules.running(odd, ["k"], ["o"], {"n": ("sum", F.lit(1))}).orderBy("n").collect()] == ["None", "-inf", "1.0", "2.0", "inf", "nan"]
+    assert rules.running(df.limit(0), ["k"], ["o", "i"], {"n": ("sum", F.lit(1))}).count() == 0
+
+
+def test_a_busy_source_is_spread_over_tasks(spark):
+    busy = spark.range(400_000).selectExpr("'192.0.2.1' AS src4_addr", "id AS src_port", "10000L AS in_bytes")
+    spread = rules.running(busy, ["src4_addr"], ["src_port"], {"n": ("sum", F.lit(1))}).groupBy(F.spark_partition_id()).agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # they are small here
+    try:
+        with_rows = spread.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(with_rows) > 1
+    assert max(r.rows for r in with_rows) < 300_000
+    assert max(r.n for r in with_rows) == 400_000
+
+
+def test_built_in_rules_are_the_single_ones(spark):
+    rng = random.Random(2)
+    rows = [flow(sport=i, src=f"192.0.2.{rng.randint(1, 6)}", dst=rng.choice([DST, OTHER, "", "198.51.100.9"]), dport=rng.choice([80, 6667]), size=rng.choice([0, 50, 900]), packets=rng.choice([1, 20]), first=at(rng.randint(0, 4000))) for i in range(300)]
+    config = rules.RuleConfig((6667,), (OTHER,), rules.Thresholds(frequency_of_connections=50, ip_reuse_connections=14, p2p_unique_peers=2, packet_size_anomaly_min_flows=36, packet_size_anomaly_avg_bytes=300, suspicious_port_connection_count=3, suspicious_port_time_window_sec=900, behavioral_connection_count=3, behavioral_time_window_sec=900))
+    df = flows(spark, rows)
+    together = {tuple(r) for r in rules.triggered(df, config, ORDER).collect()}
+    single = {tuple(r) for rule in rules.RULES for r in rule(normalize(df), config, ORDER).collect()}
+    assert together == single
+    assert len({reason for _, reason in single}) == 7

@@ -181,3 +181,20 @@ def test_router(spark, tmp_path):
     assert (found["flow"].count(), found["packet"].count(), len(failed)) == (2, 2, 1)
     assert found["flow"].select("file").distinct().count() == 2
     assert "d.pcap" in failed[0]
+
+
+def test_bad_records_are_counted_and_shown(spark, tmp_path):
+    (tmp_path / "x.ndjson").write_text('{"in_bytes": 1}\nbroken 1\n{"in_bytes": 2}\nbroken 2\n')
+    kept = src.read_ndjson(spark, str(tmp_path), mode="keep")
+    assert tuple(src.bad_records(kept).first()) == (2, "broken 1")
+    assert src.read_ndjson(spark, str(tmp_path)).count() == 2
+    assert tuple(src.bad_records(kept.where("in_bytes is not null")).first()) == (0, None)
+
+
+def test_readers_can_be_registered(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("5\n7\n")
+    src.register_reader("sizes", lambda spark, path, mode: spark.read.text(path).selectExpr("CAST(value AS BIGINT) AS in_bytes"))
+    try:
+        assert sorted(r.in_bytes for r in src.read_flows(spark, str(tmp_path / "x.txt"), "sizes").collect()) == [5, 7]
+    finally:
+        del src.READERS["sizes"]
