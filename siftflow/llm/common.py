@@ -1,50 +1,18 @@
-"""Shared plumbing of the training-data operators: the cluster's shared folder, lineage cuts, running sums in arrays."""
+"""Shared plumbing of the training-data operators: lineage cuts, running sums in arrays."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_OPEN: list[list[DataFrame]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
-
-    Where the session has no such setting, a local one (a test) gets a temporary folder; a cluster raises.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if context.applicationId not in _LOCAL:
-            own = tempfile.mkdtemp(prefix="siftflow-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            _LOCAL[context.applicationId] = f"file://{own}"
-        path = _LOCAL[context.applicationId]
-    return path.rstrip("/")
-
+from ..scratch import remove, scratch_path, shared_folder
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; what is there when the application ends goes."""
-    path = f"{shared_folder(spark)}/siftflow/{name}-{uuid.uuid4().hex}"
-    where, files = _file_system(spark, path)
-    files.deleteOnExit(where)
-    return path
+__all__ = ["bind", "bound_batches", "drop_spilled", "partitions", "running", "scratch_path", "shared_folder", "spill", "table", "workspace"]
 
-
-def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+_OPEN: list[list[DataFrame]] = []
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
@@ -66,8 +34,7 @@ def drop_spilled(*written: DataFrame) -> None:
     for df in written:
         path = getattr(df, "_siftflow_path", None)
         if path:
-            where, files = _file_system(df.sparkSession, path)
-            files.delete(where, True)
+            remove(df.sparkSession, path)
             df._siftflow_path = None
 
 
