@@ -91,12 +91,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     place = F.lit(0)
     if isinstance(kind, T.NumericType):
         first = F.col(order[0]).cast("double")
-        ends = rows.agg(F.min(first).alias("_low"), F.max(first).alias("_high")).withColumn("_one", F.lit(1))  # a single row
-        rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one", "left").drop("_one")
-        span = F.col("_high") - F.col("_low")  # not a finite number if an end isn't
-        at = F.least(F.floor((first - F.col("_low")) / span * RANGES), F.lit(RANGES - 1))
+        low, high = rows.agg(F.min(first)).scalar(), rows.agg(F.max(first)).scalar()
+        span = high - low  # not a finite number if an end isn't
+        at = F.least(F.floor((first - low) / span * RANGES), F.lit(RANGES - 1))
         place = F.when(first.isNull(), -1).when((span > 0) & (span < float("inf")), at).otherwise(0)
-    rows = rows.withColumn("_range", place.cast("int")).drop("_low", "_high")
+    rows = rows.withColumn("_range", place.cast("int"))
     rows = rows.withColumns({f"_of_{name}": of for name, (_, of) in values.items()})
     ranges = rows.groupBy(*keys, "_range").agg(*(getattr(F, how)(f"_of_{name}").alias(f"_part_{name}") for name, (how, _) in values.items()))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
