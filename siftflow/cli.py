@@ -80,12 +80,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         inputs, failed = read_folder(spark, args.input)
     else:
         kind, rows = read_file(spark, args.input, mode="fail")
-        inputs, failed = {kind: rows}, []
+        inputs, failed = {kind: rows}, spark.createDataFrame([], "file string, error string")
     results = analyse(inputs, flow_model, packet_model, args.fragment_by_file).cache()
     records = sum(rows.count() for rows in inputs.values())
     text = report.summary(results, records, time.time() - began)
     results.unpersist()
-    return text + "".join(f"skipped {f}\n" for f in failed)
+    return text + "".join(f"skipped {r.file}: {r.error}\n" for r in failed.orderBy("file").toLocalIterator())
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -42,11 +42,23 @@ def bad_records(kept: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("bad"), F.min_by("text", "n").alias("first_bad"))
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType, mode: str) -> DataFrame:
+    """An object per ``value``; other columns pass through."""
+    line = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("value", r"[\t\r]", " ")), ",$", ""), " +$", "")
+    return _parse(lines.withColumn("value", line).where("value <> ''"), F.col("value"), schema, mode)
+
+
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType = FLOW, mode: str = "skip") -> DataFrame:
     """An object per line; white space, one comma after it, and blank lines don't count."""
-    line = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("value", r"[\t\r]", " ")), ",$", ""), " +$", "")
-    lines = spark.read.text(path).select(line.alias("value")).where("value <> ''")
-    return _parse(lines, F.col("value"), schema, mode)
+    return parse_lines(spark.read.text(path), schema, mode)
+
+
+def parse_arrays(files: DataFrame, schema: T.StructType, mode: str, order: bool = False) -> DataFrame:
+    """The objects of each ``value``, a whole file; other columns pass through."""
+    found = F.regexp_extract_all("value", F.lit(r"\{[^}]*\}"), F.lit(0))
+    others = [c for c in files.columns if c != "value"]
+    records = files.select(*others, F.posexplode(found).alias("position", "value") if order else F.explode(found).alias("value"))
+    return _parse(records, F.col("value"), schema, mode)
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType = FLOW, mode: str = "skip", order: bool = False) -> DataFrame:
@@ -54,10 +66,7 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
 
     A file is one task. ``order`` adds ``position``, the object's place in its file.
     """
-    found = F.regexp_extract_all("value", F.lit(r"\{[^}]*\}"), F.lit(0))
-    files = spark.read.text(path, wholetext=True)
-    records = files.select(F.posexplode(found).alias("position", "value") if order else F.explode(found).alias("value"))
-    return _parse(records, F.col("value"), schema, mode)
+    return parse_arrays(spark.read.text(path, wholetext=True), schema, mode, order)
 
 
 def read_rule_flows(spark: SparkSession, path: str | list[str], mode: str = "skip") -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..schemas import ARP_PROTO, PACKET
 
@@ -102,3 +103,18 @@ def read_pcap(spark: SparkSession, path: str | list[str], arp_compat: bool = Fal
                 yield decode(bytes(content), arp_compat)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PACKET)
+
+
+def decode_files(files: DataFrame, arp_compat: bool = False) -> DataFrame:
+    """Packets of ``(content, file)`` with ``file`` and ``error``: a capture that can't be read is one row with its error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content, file in zip(part["content"], part["file"], strict=True):
+                try:
+                    yield decode(bytes(content), arp_compat).assign(file=file, error=None)
+                except ValueError as e:
+                    yield pd.DataFrame([{f.name: None for f in PACKET.fields} | {"file": file, "error": str(e)}])
+
+    schema = T.StructType([*PACKET.fields, T.StructField("file", T.StringType()), T.StructField("error", T.StringType())])
+    return files.select("content", "file").mapInPandas(run, schema)

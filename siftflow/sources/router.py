@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import file_size
-from .flows import read_json_array, read_ndjson
-from .pcap import read_pcap
+from ..schemas import FLOW
+from ..scratch import scratch_path
+from .flows import parse_arrays, parse_lines, read_json_array, read_ndjson
+from .pcap import decode_files, read_pcap
 
 #: Kinds in the order in which a directory is worked through, and the file names they go by.
 KINDS = {"json": (".json",), "ndjson": (".ndjson",), "pcap": (".pcap",)}
@@ -45,23 +49,36 @@ def read_file(spark: SparkSession, path: str, mode: str = "skip") -> tuple[str,
     return "flow", (read_ndjson if kind == "ndjson" else read_json_array)(spark, path, mode=mode)
 
 
-def read_folder(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], list[str]]:
-    """Flows and packets below a folder, each with ``file``, and the files that had to be passed over.
+def _glob(kind: str) -> str:
+    """File names of a kind, in any case."""
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in KINDS[kind][0])
+
+
+def read_folder(spark: SparkSession, folder: str, mode: str = "skip") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Flows and packets below a folder, each with ``file``, and ``(file, error)`` of captures that can't be read.
 
-    Files are opened one by one, so that a capture that can't be read costs itself only.
+    One reader a kind takes all its files, whose names never reach the driver. Captures are decoded once, into
+    the shared folder, so that one that can't be read costs itself only. Kinds without a file are left out.
     """
+    kinds = {r.kind for r in classify(spark, folder).select("kind").distinct().collect()}
     found: dict[str, DataFrame] = {}
-    failed: list[str] = []
-    rank = {k: i for i, k in enumerate(KINDS)}
-    files = sorted((rank[r.kind], r.path) for r in classify(spark, folder).where("kind <> 'unsupported'").collect())
-    for _, path in files:
-        try:
-            kind, rows = read_file(spark, path)
-            if kind == "packet":
-                rows.agg(F.count("*")).collect()  # decodes once, to learn whether the file is sound
-        except Exception as e:  # noqa: BLE001  whatever is wrong with a file, the others go on
-            failed.append(f"{path}: {str(e).splitlines()[0][:200]}")
-            continue
-        rows = rows.withColumn("file", F.lit(path))
-        found[kind] = found[kind].unionByName(rows) if kind in found else rows
+    failed = spark.createDataFrame([], "file string, error string")
+
+    def files(kind: str) -> DataFrameReader:
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _glob(kind))
+
+    name = F.col("_metadata.file_path").alias("file")
+    flows = []
+    if "json" in kinds:
+        flows.append(parse_arrays(files("json").text(folder, wholetext=True).select("value", name), FLOW, mode))
+    if "ndjson" in kinds:
+        flows.append(parse_lines(files("ndjson").text(folder).select("value", name), FLOW, mode))
+    if flows:
+        found["flow"] = reduce(DataFrame.unionByName, flows)
+    if "pcap" in kinds:
+        path = scratch_path(spark, "packets")
+        decode_files(files("pcap").format("binaryFile").load(folder).select("content", F.col("path").alias("file"))).write.parquet(path)
+        decoded = spark.read.parquet(path)
+        found["packet"] = decoded.where("error is null").drop("error")
+        failed = decoded.where("error is not null").select("file", "error")
     return found, failed

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftflow.functions import convert
-from siftflow.schemas import RULE_FLOW
+from siftflow.schemas import PACKET, RULE_FLOW
 from siftflow.sources import flows as src
 from siftflow.sources import pcap, router
 
@@ -178,9 +178,14 @@ def test_router(spark, tmp_path):
     counts = {r.kind: r.files for r in router.file_type_counts(spark, str(tmp_path)).collect()}
     assert counts == {"json": 1, "ndjson": 1, "pcap": 2, "unsupported": 1}
     found, failed = router.read_folder(spark, str(tmp_path))
-    assert (found["flow"].count(), found["packet"].count(), len(failed)) == (2, 2, 1)
+    assert (found["flow"].count(), found["packet"].count(), failed.count()) == (2, 2, 1)
     assert found["flow"].select("file").distinct().count() == 2
-    assert "d.pcap" in failed[0]
+    assert failed.first().file.endswith("d.pcap")
+    assert "incomplete" in failed.first().error
+    assert found["packet"].columns == [*PACKET.fieldNames(), "file"]
+    (tmp_path / "none").mkdir()
+    write(tmp_path, "none/x.txt", "x")
+    assert router.read_folder(spark, str(tmp_path / "none"))[0] == {}
 
 
 def test_bad_records_are_counted_and_shown(spark, tmp_path):
