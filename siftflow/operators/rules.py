@@ -80,18 +80,20 @@ RANGES = 1024
 _COMBINE = {"sum": lambda before, now: F.coalesce(before, F.lit(0)) + F.coalesce(now, F.lit(0)), "min": F.least, "max": F.greatest}
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], whole: DataFrame | None = None) -> DataFrame:
     """``rows`` with running values over each key's rows in order: name to ``("sum" | "min" | "max", of what)``.
 
     A key's rows are cut into ``RANGES`` equal ranges of the first order column (null: the first range; not a
     number: one range), which are added up by themselves and then offset by what came before, so that no task
-    needs all rows of a busy key. Rows move once, dealt by key and range.
+    needs all rows of a busy key. Rows move once, dealt by key and range. ``whole`` is a table that holds at
+    least these rows and is cheaper to find the column's ends in.
     """
     kind = rows.schema[order[0]].dataType
     place = F.lit(0)
     if isinstance(kind, T.NumericType):
         first = F.col(order[0]).cast("double")
-        low, high = rows.agg(F.min(first)).scalar(), rows.agg(F.max(first)).scalar()
+        ends = (rows if whole is None else whole).select(order[0])
+        low, high = ends.agg(F.min(first)).scalar(), ends.agg(F.max(first)).scalar()
         span = high - low  # not a finite number if an end isn't
         at = F.least(F.floor((first - low) / span * RANGES), F.lit(RANGES - 1))
         place = F.when(first.isNull(), -1).when((span > 0) & (span < float("inf")), at).otherwise(0)
@@ -137,7 +139,7 @@ def peers(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
 def _small_average(rows: DataFrame, config: RuleConfig, order: list[str]) -> DataFrame:
     """Sources that at some point have had ten or more flows with bytes, and few bytes on average."""
     data = _from_source(rows).where("in_bytes > 0").select("src4_addr", "in_bytes", *order)
-    found = running(data, ["src4_addr"], order, {"n": ("sum", F.lit(1)), "b": ("sum", F.col("in_bytes"))})
+    found = running(data, ["src4_addr"], order, {"n": ("sum", F.lit(1)), "b": ("sum", F.col("in_bytes"))}, rows)
     return _hits(found.where((F.col("n") >= 10) & (F.expr("b div n") < config.thresholds.packet_size_anomaly_avg_bytes)), SIZE)
 
 
@@ -172,7 +174,7 @@ def _pair_rule(normal: DataFrame, order: list[str], flag: Column, count: int, se
     The span runs from the earliest start to the latest start or end. Without any readable time it is zero;
     with ends alone it is too long for any limit.
     """
-    rows = running(_pairs(normal), ["src4_addr", "dst4_addr"], order, _pair_span() | {"flagged": ("max", F.coalesce(flag, F.lit(False)))})
+    rows = running(_pairs(normal), ["src4_addr", "dst4_addr"], order, _pair_span() | {"flagged": ("max", F.coalesce(flag, F.lit(False)))}, normal)
     span = _span(F.col("begin"), F.col("end"))
     return _hits(rows.where(F.col("flagged") & (F.col("n") > count) & (span < seconds)), reason)
 
@@ -231,7 +233,7 @@ def built_in(normal: DataFrame, config: RuleConfig, order: list[str]) -> DataFra
 
     values = _pair_span() | {"bad": ("max", F.coalesce(bad_port, none)), "small": ("max", F.coalesce(small_packets_flow(config), none))}
     columns = ["src4_addr", "dst4_addr", "dst_port", "in_bytes", "in_packets", "first_ms", "last_ms", *order]
-    pairs = running(_pairs(normal).select(*dict.fromkeys(columns)), ["src4_addr", "dst4_addr"], order, values).withColumn("span", _span(c("begin"), c("end")))
+    pairs = running(_pairs(normal).select(*dict.fromkeys(columns)), ["src4_addr", "dst4_addr"], order, values, normal).withColumn("span", _span(c("begin"), c("end")))
     of_pairs = reasons(pairs, {
         REUSE: c("n") > t.ip_reuse_connections,
         PORTS: c("bad") & (c("n") > t.suspicious_port_connection_count) & (c("span") < t.suspicious_port_time_window_sec),

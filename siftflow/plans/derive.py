@@ -6,9 +6,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions.flow import millis_iso
 
 #: Unique, so it can stand for the order of arrival.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -37,11 +34,12 @@ def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows_of(lineitem: DataFrame) -> DataFrame:
-    rows = lineitem.withColumns({"first": millis_iso(F.expr(_FIRST_MS)), "last": millis_iso(F.expr(_LAST_MS))})
-    return rows.selectExpr(
+    # a time without a zone, so that any session writes the same; a short expression, as it is inlined several times
+    iso = "date_format(timestampadd(MILLISECOND, {}, timestamp_ntz'1970-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
+    return lineitem.selectExpr(
         *ORDER,
-        "first",
-        "last",
+        f"{iso.format(_FIRST_MS)} AS first",
+        f"{iso.format(_LAST_MS)} AS last",
         "CAST(l_quantity AS BIGINT) AS in_packets",
         "CAST(l_quantity AS BIGINT) * (40 + l_partkey % 1000) AS in_bytes",
         f"{_PROTO} AS proto",
