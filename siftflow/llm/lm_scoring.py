@@ -172,11 +172,16 @@ def fit(docs: DataFrame, targets: DataFrame, tokenizer: str, id_col: str = "doc_
     """The losses of all pairs in ``docs``; its rows whose id is in ``targets`` are the target set."""
     from tokenizers import Tokenizer
 
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
+    if vocabulary > 1 << _SHIFT:
+        raise ValueError(f"{vocabulary} tokens don't fit in pairs of {_SHIFT} bits")
     chosen = targets.select(F.col(id_col).alias("_t")).where("_t is not null").distinct().withColumn("target", F.lit(True))
     # a merge join at every size: what it moves grows as the input does, and no set of ids is ever broadcast
     flagged = docs.select(F.col(id_col), F.col(text_col)).join(chosen.hint("merge"), F.col(id_col) == F.col("_t"), "left")
     counts = spill(count_pairs(flagged, tokenizer, text_col), "pairs")
-    return spill(losses(counts, Tokenizer.from_file(tokenizer).get_vocab_size()), "model")
+    model = spill(losses(counts, vocabulary), "model")
+    drop_spilled(counts)
+    return model
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,9 @@ class PieceModel:
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "Ａ ﬁ  x\u0301"
+        if lib.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError(f"{path}: only an identity normaliser with a dummy prefix is supported")
         size = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if lib.is_byte(i)}

@@ -67,3 +67,10 @@ def test_empty(spark):
     assert lm.score(docs, model, PATH).count() == 0
     some = spark.createDataFrame([(1, "a b c")], docs.schema)
     assert lm.score(some, lm.fit(some, docs, PATH), PATH).first().n_tokens == 3
+
+
+def test_a_vocabulary_too_large_for_pairs_raises(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_SHIFT", 15)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="fit in pairs"):
+        lm.fit(docs, docs.select("doc_id"), lm.tokenizer_path("byte_bpe_50k.json"))

@@ -79,3 +79,16 @@ def test_empty_table(spark):
     shards = tr.write_records(df, scratch_path(spark, "records"), PATH, 2)
     assert shards == []
     assert tr.read_records(spark, shards).count() == 0
+
+
+def test_query_whole(spark, tmp_path):
+    texts = {5: "one two", 3: None, 9: "", 1: "¡hola! " * 300, 7: "one two"}
+    rows = [(i, t, "x") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tr.op6_token_records(spark, str(tmp_path)).collect()}
+    want, at = {}, 0
+    for i in sorted(texts):
+        own = np.array([*ids(texts[i]), 2], "<u4")
+        want[i] = (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
+    assert got == want
