@@ -462,7 +462,8 @@ def source_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays in files of many flows each."""
     text = F.to_json(F.struct(*_COLUMNS.split(", ")))
-    rows = flows(spark, sf_dir).groupBy(F.pmod("l_orderkey", F.lit(500))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ",\n")).alias("value"))
+    # arrays of bounded length: neighbours in a partition
+    rows = flows(spark, sf_dir).select(text.alias("text"), F.floor(F.monotonically_increasing_id() / 1000).alias("n")).groupBy("n").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ",\n")).alias("value"))
     path = scratch_path(spark, "array")
     rows.select("value").repartition(8).write.option("lineSep", "]\n[").text(path)
     return src.read_json_array(spark, path)

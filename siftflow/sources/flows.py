@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,20 +53,51 @@ def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType
     return parse_lines(spark.read.text(path), schema, mode)
 
 
-def parse_arrays(files: DataFrame, schema: T.StructType, mode: str, order: bool = False) -> DataFrame:
-    """The objects of each ``value``, a whole file; other columns pass through."""
-    found = F.regexp_extract_all("value", F.lit(r"\{[^}]*\}"), F.lit(0))
-    others = [c for c in files.columns if c != "value"]
-    records = files.select(*others, F.posexplode(found).alias("position", "value") if order else F.explode(found).alias("value"))
-    return _parse(records, F.col("value"), schema, mode)
+def _broken_off(closed: DataFrame, opened: DataFrame) -> DataFrame:
+    """``file`` of those that break off inside an object; ``closed`` and ``opened`` are their pieces up to each ``}`` and ``{``.
+
+    Such a file has a ``{`` in its last piece and no ``}`` at its end. The pieces and one byte for each come to one
+    byte more than the file where it doesn't end with their separator, so the two sums tell which end it has. Only
+    files with a ``{`` in the last piece are read a second time.
+    """
+    ends = closed.groupBy("file").agg(F.max_by(F.contains("value", F.lit("{")), "at").alias("open"), F.sum("bytes").alias("bytes")).where("open")
+    sums = opened.join(F.broadcast(ends.select("file")), "file", "left_semi").groupBy("file").agg(F.sum("bytes").alias("other"))
+    return ends.join(sums, "file").where("bytes >= other").select("file")
+
+
+def array_objects(reader: DataFrameReader, path: str | list[str], order: bool = False) -> DataFrame:
+    """``(file, value)``, with ``order`` ``position`` besides: the text of each object, from a ``{`` to the next ``}``.
+
+    Files are split at any ``}``, so a task holds an object at a time, however large its file.
+    """
+
+    def pieces(end: str) -> DataFrame:
+        # the first place of a split, then the order in it
+        at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+        return reader.text(path, lineSep=end).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"), (F.octet_length("value") + 1).alias("bytes"))
+
+    closed = pieces("}")
+    broken = F.broadcast(_broken_off(closed, pieces("{")))
+    # what a file breaks off in is its last piece
+    last = closed.join(broken, "file", "left_semi").withColumn("last", F.lead("at").over(Window.partitionBy("file").orderBy("at")).isNull())
+    found = closed.join(broken, "file", "left_anti").unionByName(last.where("not last").drop("last")).where(F.contains("value", F.lit("{")))
+    if order:
+        found = found.withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    value = F.concat(F.regexp_extract("value", r"(?s)\{.*", 0), F.lit("}")).alias("value")
+    return found.select("file", *(["position"] if order else []), value)
+
+
+def parse_arrays(objects: DataFrame, schema: T.StructType, mode: str) -> DataFrame:
+    """An object per ``value``; other columns pass through."""
+    return _parse(objects, F.col("value"), schema, mode)
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType = FLOW, mode: str = "skip", order: bool = False) -> DataFrame:
     """Objects of JSON arrays, from each ``{`` to the next ``}``; an object that the file breaks off is ignored.
 
-    A file is one task. ``order`` adds ``position``, the object's place in its file.
+    ``order`` adds ``position``, the object's place in its file; then the objects of a file are sorted in one task.
     """
-    return parse_arrays(spark.read.text(path, wholetext=True), schema, mode, order)
+    return parse_arrays(array_objects(spark.read, path, order).drop("file"), schema, mode)
 
 
 def read_rule_flows(spark: SparkSession, path: str | list[str], mode: str = "skip") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.formatting import file_size
 from ..schemas import FLOW
 from ..scratch import scratch_path
-from .flows import parse_arrays, parse_lines, read_json_array, read_ndjson
+from .flows import array_objects, parse_arrays, parse_lines, read_json_array, read_ndjson
 from .pcap import decode_files, read_pcap
 
 #: Kinds in the order in which a directory is worked through, and the file names they go by.
@@ -57,8 +57,9 @@ def _glob(kind: str) -> str:
 def read_folder(spark: SparkSession, folder: str, mode: str = "skip") -> tuple[dict[str, DataFrame], DataFrame]:
     """Flows and packets below a folder, each with ``file``, and ``(file, error)`` of captures that can't be read.
 
-    One reader a kind takes all its files, whose names never reach the driver. Captures are decoded once, into
-    the shared folder, so that one that can't be read costs itself only. Kinds without a file are left out.
+    One reader a kind takes all its files, whose names don't reach the driver but for JSON files that end in an object
+    or inside one. Captures are decoded once, into the shared folder, so that one that can't be read costs itself only.
+    Kinds without a file are left out.
     """
     kinds = {r.kind for r in classify(spark, folder).select("kind").distinct().collect()}
     found: dict[str, DataFrame] = {}
@@ -70,7 +71,7 @@ def read_folder(spark: SparkSession, folder: str, mode: str = "skip") -> tuple[d
     name = F.col("_metadata.file_path").alias("file")
     flows = []
     if "json" in kinds:
-        flows.append(parse_arrays(files("json").text(folder, wholetext=True).select("value", name), FLOW, mode))
+        flows.append(parse_arrays(array_objects(files("json"), folder), FLOW, mode))
     if "ndjson" in kinds:
         flows.append(parse_lines(files("ndjson").text(folder).select("value", name), FLOW, mode))
     if flows:

@@ -1,4 +1,7 @@
+import gzip
 import json
+import random
+import re
 import struct
 
 import pytest
@@ -43,6 +46,39 @@ def test_json_array(spark, tmp_path):
         src.read_json_array(spark, bad, mode="fail").collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_array_is_split(spark, tmp_path, small_splits):
+    """A file is many tasks, and what they find is what one regular expression over the whole text finds."""
+    rng = random.Random(8)
+    parts = ['{"first": "a"}', '{"first": "é"}', '{"first": "b{c"}', '{"x": {"first": "d"}}', '{"first": "e"', "{}", "{", "}", "]", "[", ",\n", " ", '{"first":\n"f"}', "\xe9"]
+    (tmp_path / "odd").mkdir()
+    want = {}
+    for i in range(60):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        raw = text.encode("latin-1" if i % 7 == 0 else "utf-8")
+        name = f"{i}.json" + (".gz" if i % 5 == 0 else "")
+        write(tmp_path, f"odd/{name}", gzip.compress(raw) if i % 5 == 0 else raw)
+        want[name] = re.findall(r"\{[^}]*\}", raw.decode(errors="replace"))
+    for order in (False, True):
+        got = src.array_objects(spark.read, str(tmp_path / "odd"), order)
+        found = {name: [] for name in want}
+        for r in (got.orderBy("file", "position") if order else got).collect():
+            found[r.file.rsplit("/", 1)[1]].append(r.value)
+        assert found == want if order else {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+        if order:
+            assert [r.position for r in got.where("file like '%/1.json'").orderBy("position").collect()] == list(range(len(want["1.json"])))
+    whole = write(tmp_path, "a.json", json.dumps([ROW] * 200))
+    read = src.read_json_array(spark, whole)
+    assert read.count() == 200
+    assert read.rdd.getNumPartitions() > 10
+
+
 def test_long_field_and_order(spark, tmp_path):
     long = write(tmp_path, "l.ndjson", json.dumps(ROW | {"tcp_flags": "S" * 3_000_000}) + "\n")
     assert len(src.read_ndjson(spark, long).first().tcp_flags) == 3_000_000
