@@ -34,11 +34,12 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The signed 64-bit SimHash of a whole text.
+    """The signed 64-bit SimHash of a whole text."""
+    return fingerprint(shingle_hashes(text, shingle, seed))
 
-    A bit is set if it is set in more than half of the shingles' values; no shingles give zero.
-    """
-    h = shingle_hashes(text, shingle, seed)
+
+def fingerprint(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes: a bit is set if it is set in more than half of them; none give zero."""
     votes = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 65536):
         votes += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -50,7 +51,7 @@ def simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
-def _keys(fp: Column, blocks: int, distance: int) -> Column:
+def block_keys(fp: Column, blocks: int, distance: int) -> Column:
     """Long keys of all choices of ``blocks - distance`` blocks; close fingerprints agree on one of them at least."""
     edge = [BITS * i // blocks for i in range(blocks + 1)]
     out = []
@@ -70,7 +71,7 @@ def linked_fingerprints(fps: DataFrame, blocks: int = 4, bucket_cap: int = 64) -
     distance 2 exactly if they share such a variant, and at most 65 can share one; each is linked to the
     variant's smallest member. So no pair is lost and no group is expanded into all its pairs.
     """
-    keys = fps.select("fp", F.explode(_keys(F.col("fp"), blocks, 2)).alias("k"))
+    keys = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, 2)).alias("k"))
     sizes = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     met = spill(keys.join(sizes, "k"), "blocks")
     cold = met.where(F.col("n") <= bucket_cap).select("k", F.col("fp").alias("a"))
