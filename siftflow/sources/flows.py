@@ -58,11 +58,11 @@ def _broken_off(closed: DataFrame, opened: DataFrame) -> DataFrame:
 
     Such a file has a ``{`` in its last piece and no ``}`` at its end. The pieces and one byte for each come to one
     byte more than the file where it doesn't end with their separator, so the two sums tell which end it has. Only
-    files with a ``{`` in the last piece are read a second time.
+    files with a ``{`` in the last piece are read for the second sum.
     """
     ends = closed.groupBy("file").agg(F.max_by(F.contains("value", F.lit("{")), "at").alias("open"), F.sum("bytes").alias("bytes")).where("open")
-    sums = opened.join(F.broadcast(ends.select("file")), "file", "left_semi").groupBy("file").agg(F.sum("bytes").alias("other"))
-    return ends.join(sums, "file").where("bytes >= other").select("file")
+    sums = opened.withColumnRenamed("bytes", "other").join(F.broadcast(ends.select("file", "bytes")), "file").groupBy("file", "bytes").agg(F.sum("other").alias("other"))
+    return sums.where("bytes >= other").select("file")
 
 
 def array_objects(reader: DataFrameReader, path: str | list[str], order: bool = False) -> DataFrame:
