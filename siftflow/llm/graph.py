@@ -61,11 +61,18 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    # the count needs ``e`` without repeats, so Spark makes ``e`` once for both sides and not once more for its minima
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    own, other = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
     return (
         e.join(least, "u")
-        .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        .select(F.explode(F.when(F.col("n") > 1, F.array(own, other)).otherwise(F.array(own))).alias("x"))
         .select("x.u", "x.v")
         .where("u <> v")
         .distinct()
     )
+
+
+def forest(comp: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` with the components of ``comp``, one per node that isn't a root."""
+    return comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -103,6 +103,18 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components_join_once(spark, tmp_path):
+    """A round joins its edges to their minima once for each star, and a forest of stars is settled."""
+    rng = random.Random(6)
+    spark.createDataFrame([(i, rng.randrange(i)) for i in range(1, 300) for _ in range(3)], "u long, v long").distinct().write.parquet(str(tmp_path / "edges"))
+    out = graph._small_star(graph._large_star(spark.read.parquet(str(tmp_path / "edges"))))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Join [" in line for line in plan.splitlines()) == 2
+    comp = graph.connected_components(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "a long, b long"))
+    assert sorted(map(tuple, graph.forest(comp).collect())) == [(2, 1), (3, 1), (8, 7)]
+
+
 def test_near_duplicates(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(5, long, "a"), (3, long.upper(), "b"), (9, long + " tail", "c"), (7, "", "d"), (8, None, "e"), (2, "other words entirely here", "f"), (2, "other words entirely here", "f"), (None, "no id at all", "g"), (None, long, "h"), (4, "x", None)]
